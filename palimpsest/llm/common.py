@@ -25,15 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     if set_dir := spark.conf.get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        made = tempfile.mkdtemp(prefix="palimpsest-")
-    else:
-        made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", made) if spark.conf.isModifiable("spark.checkpoint.dir") else _own.setdefault(id(spark), made)
-    return _own.get(id(spark), made)
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if app not in _own:
+        local = master.startswith("local") and not master.startswith("local-cluster")
+        _own[app] = tempfile.mkdtemp(prefix="palimpsest-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return _own[app]
 
 
-_own: dict[int, str] = {}
+_own: dict[str, str] = {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
