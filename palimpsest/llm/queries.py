@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import merkle, mixing, packing, quality_rules, simhash
+from palimpsest.llm import language_id, line_dedup, merkle, mixing, packing, quality_model, quality_rules, simhash, toxicity
 from palimpsest.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.evaluate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.evaluate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -32,7 +44,22 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.evaluate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_mix_sources, op5_merkle_fingerprints, op6_harmonic_packing, op7_simhash_duplicates, op8_host_rules)
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_line_dedup,
+        op3_quality_attention,
+        op4_mix_sources,
+        op5_merkle_fingerprints,
+        op6_harmonic_packing,
+        op7_simhash_duplicates,
+        op8_host_rules,
+        op9_language_id,
+    )
 }
 ORACLE: dict[str, str] = {}
