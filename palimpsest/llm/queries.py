@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import language_id, line_dedup, merkle, mixing, packing, quality_model, quality_rules, simhash, toxicity
+from palimpsest.llm import language_id, line_dedup, merkle, mixing, packing, quality_model, quality_rules, simhash, templates, toxicity
 from palimpsest.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.evaluate(table(spark, sf_dir, "documents"))
 
 
+def op10_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_simhash_duplicates,
         op8_host_rules,
         op9_language_id,
+        op10_template_extraction,
     )
 }
 ORACLE: dict[str, str] = {}
