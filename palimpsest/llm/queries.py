@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palimpsest.llm import language_id, line_dedup, merkle, mixing, packing, quality_model, quality_rules, simhash, templates, toxicity
 from palimpsest.llm.common import table
 
@@ -66,5 +67,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_id,
         op10_template_extraction,
     )
-}
-ORACLE: dict[str, str] = {}
+} | {"pipeline": corpus_pipeline.run}
+ORACLE: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
