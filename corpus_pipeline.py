@@ -6,6 +6,7 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -13,6 +14,11 @@ from palimpsest.llm import line_dedup, mixing, packing, quality_model, simhash
 from palimpsest.llm.common import materialise, table  # noqa: E402
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is such a column, as the text now has them."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention model accepts, at a score of 0.3; rejected ones, and texts without words, go."""
     return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -20,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without runs of lines with 50 words or more that an earlier document or line has."""
-    return line_dedup.dedup_lines(docs)
+    return _counted(line_dedup.dedup_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, so that sources come to their targets in words."""
-    return mixing.mix(docs)
+    return _counted(mixing.mix(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
