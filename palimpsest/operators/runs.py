@@ -43,7 +43,8 @@ def segment(rows: DataFrame, shard: str, order: list[str], limit: int, size: str
     The fold is sequential in a shard. A task reads its shards as a stream and keeps three numbers, whatever their length.
     """
     schema = f"{', '.join(f'`{c}` {t}' for c, t in rows.dtypes)}, `{out}` long"
-    at_shard, at_size = rows.columns.index(shard), rows.columns.index(size)
+    columns = list(rows.columns)
+    at_shard, at_size = columns.index(shard), columns.index(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, k = None, 0, 0
@@ -62,7 +63,7 @@ def segment(rows: DataFrame, shard: str, order: list[str], limit: int, size: str
                 closed = held == 0 and hi > lo
                 seg[lo:hi] = own + k
                 k += int(own[-1]) + closed
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seg)], [*rows.columns, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seg)], [*columns, out])
 
     return rows.repartition(shard).sortWithinPartitions(shard, *order).mapInArrow(run, schema)
 
