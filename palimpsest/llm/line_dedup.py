@@ -59,26 +59,19 @@ def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     a, b = lines.alias("a"), lines.alias("b")
     both = diagonal.alias("d").join(a, F.expr("a.id <=> d.id and a.t = d.t")).select("d.*", F.col("a.h").alias("h"), F.col("a.w").alias("w"))
     both = both.alias("d").join(b, F.expr("b.id <=> d.sid and b.t = d.st")).select("d.*", F.col("b.h").alias("sh"))
-    # Runs: lines of the later document that equal the line ``shift`` above in the source; a line without words goes on with a run if equal.
-    size, shift = F.size("h"), F.col("shift")
-    same = F.transform("h", lambda x, i: F.coalesce((i >= shift) & (x == F.get("sh", i - shift)), F.lit(False)))
-    step = lambda s, i: F.when(
-        F.get("same", i),
-        F.struct(s["runs"].alias("runs"), F.when(s["from"] < 0, i).otherwise(s["from"]).alias("from"), (s["words"] + F.get("w", i)).alias("words"), (s["hit"] | F.array_contains("ats", i)).alias("hit")),
-    ).otherwise(F.struct(_closed(s, i, min_words).alias("runs"), F.lit(-1).alias("from"), F.lit(0).cast("long").alias("words"), F.lit(False).alias("hit")))
-    start = F.struct(F.array().cast("array<array<int>>").alias("runs"), F.lit(-1).alias("from"), F.lit(0).cast("long").alias("words"), F.lit(False).alias("hit"))
-    both = both.withColumn("same", same)
-    runs = F.aggregate(F.sequence(F.lit(0), size), start, step, lambda s: s["runs"])  # one step past the end closes the last run
-    gone = both.select("id", "t", F.flatten(runs).alias("gone")).where(F.size("gone") > 0)
+    # Where the documents part on this diagonal, with the places before the first line and after the last.
+    n, shift = F.size("h"), F.col("shift")
+    same = lambda i: F.coalesce((i >= shift) & (F.get("h", i) == F.get("sh", i - shift)), F.lit(False))
+    parted = F.filter(F.sequence(F.lit(-1), n), lambda i: ~same(i))
+    run = lambda bad, at: F.struct((F.array_max(F.filter(bad, lambda i: i < at)) + 1).alias("lo"), (F.array_min(F.filter(bad, lambda i: i > at)) - 1).alias("hi"))
+    words = lambda r: F.aggregate(F.slice("w", r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0).cast("long"), lambda x, y: x + y)
+    # A lambda's argument is worked out once; a column that another lambda refers to would be worked out at each of its steps.
+    runs = F.flatten(F.transform(F.array(parted), lambda bad: F.array_distinct(F.transform("ats", lambda at: run(bad, at)))))
+    gone = both.select("id", "t", F.filter(runs, lambda r: words(r) >= min_words).alias("runs")).where(F.size("runs") > 0)
+    gone = gone.select("id", "t", F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"]))).alias("gone"))
     return gone.select("id", "t", F.explode("gone").alias("line")).groupBy("id", "t").agg(F.collect_set("line").alias("gone"))
 
 
-def _closed(s, i, min_words: int):
-    """The runs so far, with the open one if it holds a chosen line and has the words."""
-    run = F.array(F.sequence(s["from"], i - 1))
-    return F.when((s["from"] >= 0) & s["hit"] & (s["words"] >= min_words), F.concat(s["runs"], run)).otherwise(s["runs"])
-
-
 def _marked(docs: DataFrame, id_col: str, text_col: str, min_words: int, mark: str) -> DataFrame:
     """``docs`` with the numbers of the lines that go in ``mark``, null where none do."""
     lines = materialise(_lines(docs, id_col, text_col), "lines")
@@ -86,7 +79,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, min_words: int, mark: s
     gid, gt, key = fresh(docs, "gone_id", "gone_t", "text_hash")
     gone = gone.select(F.col("id").alias(gid), F.col("t").alias(gt), F.col("gone").alias(mark))
     left = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return left.join(gone, (left[key] == gone[gt]) & left[id_col].eqNullSafe(gone[gid]), "left").select(*docs.columns, mark)
+    # The table of what goes grows with the input, so it is dealt out with the texts and built up by task, never broadcast.
+    return left.join(gone.hint("shuffle_hash"), (left[key] == gone[gt]) & left[id_col].eqNullSafe(gone[gid]), "left").select(*docs.columns, mark)
 
 
 def _left(text_col: str, mark: str) -> F.Column:
