@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palimpsest.llm.common import WORD, fresh, materialise
 
@@ -114,7 +115,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return out.withColumn("taken", F.col("rounds") * F.col("size") + part).select("doc_id", "source", "size", "source_size", "target", "taken", "block", "shards", F.xxhash64(F.lit(seed), F.col("key"), F.col("at")).alias("place"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _first_words(text: pd.Series, n: pd.Series) -> pd.Series:
     def cut(t: str | None, k: int) -> str | None:
         if t is None:
