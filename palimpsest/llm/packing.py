@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
+import unicodedata
 import zlib
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +22,22 @@ from palimpsest.llm.common import arrow_map, materialise
 
 #: The shortest length to which a document's rest is cut; what is left is its tail.
 SHORTEST = 64
-#: Words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 400_000
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")  # where str.split() and the tokenizer differ about white space, or special tokens
+#: Parts of words whose ids a worker remembers, the first it meets, so the common ones; and bytes of text that it takes at once.
+REMEMBERED, AT_ONCE = 1_200_000, 24 << 20
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+@cache
+def _odd() -> re.Pattern:
+    """Characters that Python's classes or lower case treat otherwise than the tokenizer's."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+    return re.compile(f"[\u03a3{re.escape(numbers)}]")
 
 
 class WordIds:
-    """Ids of whole texts. The tokenizer treats what stands between white space apart, so it sees each word once."""
+    """Ids of whole texts. The tokenizer treats what stands between white space apart, and splits it into runs of letters,
+    digits and other signs. Arrow finds the distinct words of many texts; their parts are encoded once, many in one call,
+    where a token says that it ends a part; and the texts' ids are gathered from those of their words."""
 
     def __init__(self, name: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,21 +45,69 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [None if t and _WHOLE.search(t) else (t or "").split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list(set().union(*(s for s in split if s)) - known.keys())
-        for i in range(0, len(new), 4096):
-            known.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096])))
-        ids = (self._encode([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split))
-        return [np.frombuffer(x, dtype="<u4") for x in ids]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(parts) or (len(ends) and ends[-1] != len(ids)):
+            return {p: self._encode(p) for p in parts}
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        return {p: raw[i:j] for p, i, j in zip(parts, [0, *cuts], cuts)}
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; parts that are new are encoded, 1024 in a call."""
+        split: list[list[str] | None] = []
+        for w in words:
+            plain = w.isascii() or (w.isalpha() and "\u03a3" not in w and unicodedata.is_normalized("NFC", w)) or not (_odd().search(w) or not unicodedata.is_normalized("NFC", w))
+            split.append(_PARTS.findall(w.lower()) if plain else None)
+        parts, extra = self.parts, {}
+        new = [p for p in set().union(*filter(None, split)) if p not in parts]
+        for i in range(0, len(new), 1024):
+            (parts if len(parts) < REMEMBERED else extra).update(self._encode_parts(new[i : i + 1024]))
+        get = (lambda p: parts[p] if p in parts else extra[p]) if extra else parts.__getitem__
+        return [self._encode(w) if s is None else get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for w, s in zip(words, split)]
+
+    def _batch(self, texts: pa.Array) -> list[np.ndarray]:
+        # Special tokens are found in whole texts, and Arrow splits at four controls that the tokenizer keeps.
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, "[\x1c-\x1f]|<\\|")
+        split = pc.utf8_split_whitespace(pc.if_else(whole, "", texts))
+        coded = split.flatten().dictionary_encode()
+        ids = self._word_ids(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begin = np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat[np.repeat(begin[at] - ends + n, n) + np.arange(total)] if total else flat[:0]
+        words = split.offsets.to_numpy() - split.offsets[0].as_py()
+        cuts = np.concatenate(([0], ends))[words]
+        docs = [out[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            docs[i] = np.frombuffer(self._encode(texts[int(i)].as_py()), dtype="<u4")
+        return docs
+
+    def batches(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, null ones having none, some megabytes of texts at once."""
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(size, dtype=np.int64) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for i, j in zip(cuts, cuts[1:]):
+            gc.disable()  # a collection would walk through all that is remembered, and there are no cycles here
+            try:
+                made = self._batch(texts.slice(i, j - i)) if j > i else []
+            finally:
+                gc.enable()
+            yield from made
 
 
 _words: dict[str, WordIds] = {}
@@ -71,9 +134,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def batch(b: pa.RecordBatch) -> dict:
         if tokenizer not in _words:
             _words[tokenizer] = WordIds(tokenizer)
-        words, texts = _words[tokenizer], b.column(1).to_pylist()
         row, start, length, crc, total = [], [], [], [], []
-        for i, ids in ((i + k, x) for i in range(0, len(texts), 64) for k, x in enumerate(words.batch(texts[i : i + 64]))):
+        for i, ids in enumerate(_words[tokenizer].batches(b.column(1))):
             ids = np.append(ids, np.uint32(end)).astype("<u4")
             at = 0
             for n in cut(len(ids), capacity):

@@ -91,9 +91,14 @@ class Attention:
         return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "g": (v * u).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, rounds: int = 24, batch: int = 64, rate: float = 3e-3, decay: float = 2e-4) -> Attention:
-        flat = np.concatenate(bags)
+        flat = np.concatenate(bags)  # one copy, of which the bags are then parts
+        cuts = np.cumsum([len(b) for b in bags])[:-1]
+        bags.clear()
         self.mean, self.std = flat.mean(0), flat.std(0) + 1e-3
-        bags = [np.clip((b - self.mean) / self.std, -8, 8) for b in bags]
+        flat -= self.mean
+        flat /= self.std
+        np.clip(flat, -8, 8, out=flat)
+        bags = np.split(flat, cuts)
         rng = np.random.default_rng(3)
         m, q, t = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         for r in range(rounds):
@@ -133,8 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 5,
     got = got[got["x"].map(len) > 0].sort_values(["doc_id", "x"], kind="stable")
     if got.empty:
         return None
-    bags = [np.frombuffer(x, dtype=np.float16).reshape(-1, DIMS).astype(np.float32) for x in got["x"]]
-    return Attention().fit(bags, got["y"].to_numpy(dtype=np.float32))
+    bags, y = [np.frombuffer(x, dtype=np.float16).reshape(-1, DIMS).astype(np.float32) for x in got["x"]], got["y"].to_numpy(dtype=np.float32)
+    del got
+    return Attention().fit(bags, y)
 
 
 def score(docs: DataFrame, model: Attention | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

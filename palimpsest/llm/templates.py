@@ -135,6 +135,15 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def _hosted(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host <> '' and html is not null")
+
+
+def page_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, pages): how many different pages each host has; no page is taken apart for it."""
+    return _hosted(pages, url_col, html_col).select("host", F.xxhash64("html").alias("page")).groupBy("host").agg(F.count_distinct("page").alias("pages"))
+
+
 def occurrences(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, page, token, n): how often each token is on each different page of a host; copies of a page count once."""
 
@@ -148,19 +157,19 @@ def occurrences(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                 n.append(k)
         return {"host": pa.array(host, pa.string()), "page": pa.array(page, pa.int64()), "token": pa.array(token, pa.int64()), "n": pa.array(n, pa.int32())}
 
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("host <> '' and html is not null")
+    rows = _hosted(pages, url_col, html_col)
     return arrow_map(rows, batch, "host string,page long,token long,n int").distinct()
 
 
-def deduce(found: DataFrame, support: float = SUPPORT, pages: int = PAGES) -> DataFrame:
-    """(host, tokens: array of (token, class)): the valid classes of each host's template.
+def deduce(found: DataFrame, counts: DataFrame, support: float = SUPPORT, pages: int = PAGES) -> DataFrame:
+    """(host, tokens: array of (token, class)): the valid classes of each host's template, from ``occurrences`` and ``page_counts``.
 
     Tokens of a host are in one class if they occur equally often on each of its pages: the exclusive or of hashes of page
     and count is the same. It is summed up before any shuffle, so a host may have any number of pages. A class is valid if
     it is on ``support`` of ``pages`` or more different pages; then its tokens are at most 1 / support times as many as an
     average page has, so a host's row stays as short as a page.
     """
-    per = found.groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= pages)
+    per = counts.where(F.col("pages") >= pages)
     vectors = found.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("on"))
     valid = vectors.join(per, "host").where(F.col("on") >= F.lit(support) * F.col("pages"))
     return valid.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens"))
@@ -217,7 +226,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     few different pages. Broken markup is read as far as it goes. Repeated rows stay; other columns are not read. Templates
     are sent to all tasks if their measured size is within a bound, else joined by host.
     """
-    made = materialise(deduce(occurrences(pages, url_col, html_col)), "templates")
+    made = materialise(deduce(occurrences(pages, url_col, html_col), page_counts(pages, url_col, html_col)), "templates")
     total = made.agg(F.sum(F.size("tokens") * 16 + F.length("host") + 64)).first()[0] or 0
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     made = made.withColumnRenamed("host", "of")

@@ -62,11 +62,12 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((c3 + 10 * p2[None]) / (c3.sum(2, keepdims=True) + 10)).astype(np.float32)
 
 
-_RUN = re.compile(r"([^\W\d_])\1+", re.I)
 # Single letters with a sign or space between; signs within or before letters; a letter three times.
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]|[0134578@$!|](?=[ .\-_*~]))(?:[ .\-_*~](?:[^\W\d_]|[0134578@$!|])){2,}(?![^\W_])")
 _SIGNED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?:[0-9@$!|+€£]{0,2}[^\W\d_]+(?:[0-9@$!|+€£*#(._\-]{1,2}[^\W\d_]+)+|[0-9@$!|+€£]{1,2}[^\W\d_]{2,})[0-9@$!|+€£]{0,1}(?=[\s,.;:?!]|$)")
-_TRIPLE = re.compile(r"[^\W\d_]*([^\W\d_])\1{2,}[^\W\d_]*", re.I)
+# What any span of _SIGNED has: a quicker look at texts that have none.
+_HINT = re.compile(r"[^\W\d_][0-9@$!|+€£*#(._\-]{1,2}[^\W\d_]|(?<!\S)[0-9@$!|+€£]{1,2}[^\W\d_]{2}")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1+", re.I)
 
 
 class Restorer:
@@ -87,7 +88,7 @@ class Restorer:
             n, reads = j - i, []
             inner = 0 < i and j < len(low)
             if c.isalpha():
-                reads = [(c, (n - 1) * REPEAT if n > 2 else -2.5 * (n - 1))]
+                reads = [(c, (n - 1) * REPEAT if n > 2 else -5.0 * (n - 1))]
                 if n > 1:
                     reads.append((c * 2, (n - 2) * REPEAT))
                 if n > 2:
@@ -132,8 +133,19 @@ class Restorer:
         """The text in lower case, with disguised spans as read. Spaced letters are read both ways and kept beside what they spell."""
         low = (text or "").lower()
         low = _SPACED.sub(lambda m: f"{m[0]} {self.read(m[0])}" if " " in m[0] else self.read(m[0]), low)
-        low = _SIGNED.sub(lambda m: self.read(m[0]), low)
-        return _TRIPLE.sub(lambda m: self.read(m[0]), low)
+        if _HINT.search(low):
+            low = _SIGNED.sub(lambda m: self.read(m[0]), low)
+        out, last = [], 0
+        for m in _TRIPLE.finditer(low):
+            a, b = m.span()
+            if a >= last:  # the whole word around it
+                while a > last and low[a - 1].isalpha():
+                    a -= 1
+                while b < len(low) and low[b].isalpha():
+                    b += 1
+                out += (low[last:a], self.read(low[a:b]))
+                last = b
+        return "".join(out) + low[last:] if out else low
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -149,11 +161,23 @@ class Scorer:
     """A lexicon of terms with log odds, and a logistic regression on what a text's terms add up to."""
 
     def __init__(self, weights: dict[str, float]) -> None:
-        self.weights, self.beta = weights, np.array([-4.0, 1.5, 1.0, 0.0])
+        self.weights, self.beta, self.known = weights, np.array([-4.0, 1.5, 1.0, 0.0]), {}
+
+    def hits(self, restored: str) -> set[str]:
+        """The text's terms that the lexicon has; what a word has is remembered."""
+        known, out = self.known, set()
+        for w in set(_WORDS.findall(restored)):
+            if (own := known.get(w)) is None:
+                own = tuple(t for t in (w, *(w[:n] + "~" for n in (4, 5, 6) if len(w) > n)) if t in self.weights)
+                if len(known) < 300_000:
+                    known[w] = own
+            if own:
+                out.update(own)
+        return out
 
-    def traits(self, found: set[str]) -> list[float]:
-        w = sorted((self.weights[t] for t in found & self.weights.keys()), reverse=True)
-        return [1.0, w[0] if w else 0.0, math.log1p(sum(w)), math.log1p(len(w))]
+    def traits(self, restored: str) -> list[float]:
+        w = [self.weights[t] for t in self.hits(restored)]
+        return [1.0, max(w, default=0.0), math.log1p(math.fsum(w)), math.log1p(len(w))]
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         beta, prior = np.zeros(x.shape[1]), np.diag([1e-3, 0.05, 0.05, 0.05])
@@ -164,8 +188,8 @@ class Scorer:
             beta = beta - np.clip(np.linalg.solve(h, g), -2, 2)
         self.beta = beta
 
-    def score(self, found: set[str]) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.traits(found), self.beta))))))
+    def score(self, restored: str) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.traits(restored), self.beta))))))
 
 
 _restorers: dict[int, Restorer] = {}
@@ -209,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm, label: str = "toxic", n: int = 3
 
     def traits(b: pa.RecordBatch) -> dict:
         r = _restorer(lm)
-        x = [scorer.traits(terms(r.restore(t))) for t in b.column(0).to_pylist()]
+        x = [scorer.traits(r.restore(t)) for t in b.column(0).to_pylist()]
         return {"y": b.column(1), "x": pa.array(x, pa.list_(pa.float64()))}
 
     rows = arrow_map(sample.select("text", "y"), traits, "y int,x array<double>").toPandas()
@@ -223,7 +247,7 @@ def score(docs: DataFrame, scorer: Scorer | None, lm, id_col: str = "doc_id", te
 
     def batch(b: pa.RecordBatch) -> dict:
         r = _restorer(lm)
-        return {"doc_id": b.column(0), "score": pa.array([scorer.score(terms(r.restore(t))) if scorer else 0.0 for t in b.column(1).to_pylist()], pa.float64())}
+        return {"doc_id": b.column(0), "score": pa.array([scorer.score(r.restore(t)) if scorer else 0.0 for t in b.column(1).to_pylist()], pa.float64())}
 
     return arrow_map(docs.select(id_col, text_col), batch, f"doc_id {dict(docs.dtypes)[id_col]},score double")
 
