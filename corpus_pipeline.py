@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from palimpsest.llm import line_dedup, mixing, packing, quality_model, simhash  # noqa: E402
 from palimpsest.llm.common import materialise, table  # noqa: E402
+from palimpsest.scratch import ship  # noqa: E402
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -21,6 +22,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention model accepts, at a score of 0.3; rejected ones, and texts without words, go."""
+    ship(spark)
     return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -31,16 +33,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group whose SimHash fingerprints link at 4 bits or fewer."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, so that sources come to their targets in words."""
+    ship(spark)
     return _counted(mixing.mix(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with the sequence of 4096 tokens and the offset where each goes."""
+    ship(spark)
     return packing.pack(docs)
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,48 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.scratch import delete, leave, shared_dir
+
 #: ASCII white space, as the contracts take it: space and \x09 to \x0D; bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local master gets a temporary folder and any other master a folder in the warehouse.
-    """
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-        return set_dir.rstrip("/")
-    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
-    if app not in _own:
-        local = master.startswith("local") and not master.startswith("local-cluster")
-        _own[app] = tempfile.mkdtemp(prefix="palimpsest-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return _own[app]
-
-
-_own: dict[str, str] = {}
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        _delete(spark, path)
-
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is read with pushdown."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    leave(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -62,7 +29,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def release(df: DataFrame | None) -> None:
     """Deletes a table of ``materialise`` that nothing will read again."""
     if df is not None and (path := getattr(df, "_scratch", None)):
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm, label: str = "toxic", n: int = 3
     """A scorer from about ``limit`` labelled documents outside the held-out fold, restored as the scored ones are.
 
     Terms are counted in the tasks and summed by a shuffle; those that come back are in three toxic documents or more and
-    stand out by 4 standard deviations, 20,000 of them at most by the sample's bound.
+    stand out by 2.5 standard deviations, 20,000 of them at most by the sample's bound.
     """
     sample = labelled_sample(docs, labels, label, n, held, limit)
 
