@@ -95,3 +95,28 @@ def test_odd_rows(odd, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(5) == 1 and 1 in ids and 2 not in ids and ids.count(None) == 1
     assert simhash.keep_one(empty).count() == 0
+
+
+def test_hubs_change_no_component(spark, monkeypatch):
+    from palimpsest.llm import components as c
+
+    rng = np.random.default_rng(5)
+    pairs = [(7, i) for i in range(10, 90)] + [(100 + i, 500) for i in range(60)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1060, (50, 2))] + [(500, 89), (None, 3)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    want = sorted((r.node, r.root) for r in components(links).collect())
+    parent = {x: x for p in pairs for x in p if x is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            ra, rb = sorted((root(a), root(b)))
+            parent[rb] = ra
+    linked = {x for a, b in pairs if a is not None and a != b for x in (a, b)}
+    assert want == sorted((x, root(x)) for x in linked)
+    monkeypatch.setattr(c, "SMALL", 3)
+    monkeypatch.setattr(c, "HUBS", 20)
+    assert sorted((r.node, r.root) for r in components(links).collect()) == want
