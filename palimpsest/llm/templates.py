@@ -15,6 +15,8 @@ from palimpsest.llm.common import arrow_map, materialise
 
 #: A class is valid if its tokens are on this share of a host's different pages, of which there are as many at least.
 SUPPORT, PAGES = 0.8, 8
+#: Parts that a host's tokens are dealt into before they meet its number of pages.
+PARTS = 16
 #: Templates are broadcast up to this size, and joined by a shuffle beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -166,12 +168,14 @@ def deduce(found: DataFrame, counts: DataFrame, support: float = SUPPORT, pages:
 
     Tokens of a host are in one class if they occur equally often on each of its pages: the exclusive or of hashes of page
     and count is the same. It is summed up before any shuffle, so a host may have any number of pages. A class is valid if
-    it is on ``support`` of ``pages`` or more different pages; then its tokens are at most 1 / support times as many as an
-    average page has, so a host's row stays as short as a page.
+    it is on ``support`` of ``pages`` or more different pages, so tokens on fewer than ``support * pages`` pages go at
+    once, and what is left of a host meets its number of pages in ``PARTS`` parts. A valid class's tokens are at most
+    1 / support times as many as an average page has, so a host's row stays as short as a page.
     """
-    per = counts.where(F.col("pages") >= pages)
+    per = counts.where(F.col("pages") >= pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     vectors = found.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("on"))
-    valid = vectors.join(per, "host").where(F.col("on") >= F.lit(support) * F.col("pages"))
+    vectors = vectors.where(F.col("on") >= F.lit(support * pages)).withColumn("part", F.pmod("token", F.lit(PARTS)).cast("int"))
+    valid = vectors.join(per, ["host", "part"]).where(F.col("on") >= F.lit(support) * F.col("pages"))
     return valid.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens"))
 
 
