@@ -364,6 +364,11 @@ def manifest_live(spark, sf_dir):
     return manifest.live(manifest.parse(manifest.encode(_entries(spark, sf_dir))))
 
 
+@query(ENTRIES + """ select pos, '{"action":"' || action || '","path":"' || path || '","min_key":"' || lo || '","max_key":"' || hi || '"}' as line from e""")
+def manifest_encode(spark, sf_dir):
+    return manifest.encode(_entries(spark, sf_dir))
+
+
 @query("with f as (select event_id as pos, user_id, value, event_id % 997 = 500 as bad from events), b as (select min(pos) as first_bad from f where bad) select pos, user_id from f, b where first_bad is null or pos < first_bad")
 def wal_valid_prefix(spark, sf_dir):
     return frames.valid_prefix(_frames(spark, sf_dir)).select("pos", "user_id")
@@ -489,6 +494,41 @@ def log_divergence(spark, sf_dir):
     return replication.divergence(*_replicas(spark, sf_dir))
 
 
+@query(f"""with {RLOG}, cut as (select f.replica, coalesce(min(case when l.term <> f.term then f.idx end), max(f.idx) + 1) as cut from follower f left join leader l on l.idx = f.idx group by 1)
+    select replica, idx as "index", term from follower join cut using (replica) where idx < cut union all select replica, idx, term from leader join cut on idx >= cut""")
+def follower_logs(spark, sf_dir):
+    return replication.follow(*_replicas(spark, sf_dir)).select("replica", "index", "term")
+
+
+@query(f"with {RLOG}, last as (select max(idx) as top from leader) select 'leader' as replica, idx as \"index\", term from leader union all select 'leader', top + o_orderkey, 99 from orders, last")
+def propose(spark, sf_dir):
+    leader = _replicas(spark, sf_dir)[0].withColumn("replica", F.lit("leader")).select("replica", "index", "term", "command")
+    batch = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("command"))
+    last = replication.last_info(leader).first()
+    return replication.append(leader, batch, "leader", 99, last.last_index if last else 0).select("replica", "index", "term")
+
+
+@query(f"with {RLOG} select replica, idx as \"index\", term from follower where idx > 7000")
+def log_entries_after(spark, sf_dir):
+    return replication.entries_after(_replicas(spark, sf_dir)[1], 7000).select("replica", "index", "term")
+
+
+@query(f"with {RLOG} select replica, idx as \"index\", term from follower where idx < 3000")
+def log_truncate(spark, sf_dir):
+    return replication.truncate(_replicas(spark, sf_dir)[1], 3000).select("replica", "index", "term")
+
+
+@query(f"with {RLOG} select replica, term from follower where idx = 4321")
+def term_at(spark, sf_dir):
+    return replication.term_at(_replicas(spark, sf_dir)[1], 4321)
+
+
+@query("select user_id as node, max(event_id // 1000 + 1) as term from events group by 1")
+def current_terms(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return replication.current_terms(e.select(F.col("user_id").alias("node"), (F.floor(F.col("event_id") / 1000) + 1).alias("term")))
+
+
 @query(f"with {RLOG} select replica, max(idx) as last_index, arg_max(term, idx) as last_term from follower group by 1")
 def replica_last_info(spark, sf_dir):
     return replication.last_info(_replicas(spark, sf_dir)[1])

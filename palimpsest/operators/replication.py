@@ -71,6 +71,21 @@ def divergence(leader: DataFrame, follower: DataFrame) -> DataFrame:
     return replicas.join(per, "replica").crossJoin(total).select("replica", "first_conflict", (F.col("total") - F.col("shared")).alias("missing"))
 
 
+def follow(leader: DataFrame, follower: DataFrame) -> DataFrame:
+    """(replica, index, term, command) of each follower's log after it took the leader's entries.
+
+    A follower keeps what it has up to its first entry of another term than the leader's, drops the rest, and takes the
+    leader's entries from there on; without a conflict it takes those after its last. A follower without any entry isn't in
+    the table, so it isn't in the result.
+    """
+    columns = ["replica", "index", "term", "command"]
+    cut = divergence(leader, follower).join(last_info(follower), "replica").select("replica", F.coalesce("first_conflict", F.col("last_index") + 1).alias("cut"))
+    # Replicas are few, entries many: the entries stay where they are.
+    own = follower.join(cut, "replica").where(F.col("index") < F.col("cut"))
+    new = leader.select("index", "term", "command").join(cut, F.col("index") >= F.col("cut"))
+    return own.select(*columns).unionByName(new.select(*columns))
+
+
 def accept_entries(requests: DataFrame, log: DataFrame) -> DataFrame:
     """Of each request (replica, term, current_term, prev_index, prev_term, leader_commit): success, and the replica's commit
     index after it. A lower term is refused; so is an entry before the first new one that is missing or of another term."""
