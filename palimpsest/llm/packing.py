@@ -23,7 +23,7 @@ from palimpsest.llm.common import arrow_map, materialise
 #: The shortest length to which a document's rest is cut; what is left is its tail.
 SHORTEST = 64
 #: Parts of words whose ids a worker remembers, the first it meets, so the common ones; and bytes of text that it takes at once.
-REMEMBERED, AT_ONCE = 1_200_000, 24 << 20
+REMEMBERED, AT_ONCE = 300_000, 8 << 20
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
