@@ -1,4 +1,4 @@
-"""Line dedup: winnowed line hashes, joined by position, extended both ways; later repeated runs go. DataFrame operations only."""
+"""Line dedup: winnowed line hashes, whole windows joined with their first position, extended both ways; later repeated runs go. DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import fresh, materialise
 
-#: A run of lines goes if it has so many words; each such run has a line that is chosen as a fingerprint.
+#: A run of lines goes if it has so many words and any earlier one is equal.
 MIN_WORDS = 50
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -28,48 +28,53 @@ def _order(prefix: str = "") -> F.Column:
     return F.struct(F.col(f"{prefix}id").isNull().alias("no_id"), F.col(f"{prefix}id").alias("id"), F.col(f"{prefix}t").alias("t"))
 
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, t, at, h): the chosen lines. From each line with a word on, the window is the least run of lines with
-    ``min_words`` words; its least hash, the last of equals, is chosen. So two documents that share a run of as many words
-    share a window, and choose the same line of it."""
-    rows = lines.select("id", "t", F.posexplode(F.arrays_zip("h", "w")).alias("at", "x")).where("x.w > 0").select("id", "t", "at", "x.h", "x.w")
+def _units(h: F.Column, w: F.Column) -> F.Column:
+    """The lines as (lo, hi, h, w): one for each line with words, one for each stretch of lines without."""
+    n = F.size(h)
+    start = lambda i: (F.get(w, i) > 0) | (i == 0) | (F.get(w, i - 1) > 0)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), start)
+    # A lambda's argument is worked out once; a column that another lambda refers to would be worked out at each of its steps.
+    ends = lambda at, i, k: F.coalesce(F.get(at, k + 1), n) - 1
+    unit = lambda at, i, k: F.struct(i.alias("lo"), ends(at, i, k).alias("hi"), F.when(F.get(w, i) > 0, F.get(h, i)).otherwise(F.xxhash64(F.slice(h, i + 1, ends(at, i, k) - i + 1))).alias("h"), F.get(w, i).alias("w"))
+    return F.flatten(F.transform(F.array(starts), lambda at: F.transform(at, lambda i, k: unit(at, i, k))))
+
+
+def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, t, lo, hi, at, h, run): from each line on and up to each line, the least run of lines with ``min_words`` words.
+
+    ``h`` is the least hash of a line in it and ``at`` that line, the last of equals: the winnowed fingerprint. ``run`` is
+    a hash of all its lines in order. Equal windows have the same ``h`` and ``run``, and ``at`` in the same place.
+    """
+    rows = lines.select("id", "t", F.explode(_units(F.col("h"), F.col("w"))).alias("x")).select("id", "t", "x.lo", "x.hi", "x.h", "x.w")
     doc = Window.partitionBy("id", "t")
-    rows = rows.withColumn("before", F.sum("w").over(doc.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
-    window = doc.orderBy("before").rangeBetween(0, min_words - 1)
-    least = F.min(F.struct("h", (-F.col("at")).alias("last"))).over(window)
-    chosen = rows.withColumn("least", least).withColumn("words", F.sum("w").over(window)).where(F.col("words") >= min_words)
-    return chosen.select("id", "t", (-F.col("least.last")).alias("at"), F.col("least.h").alias("h")).distinct()
+    rows = rows.withColumn("after", F.sum("w").over(doc.orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)))
+    # Words before or after a line, and its number: a range of the former is also one of the latter.
+    step = 1 << 31
+    rows = rows.withColumn("from", (F.col("after") - F.col("w")) * step + F.col("lo")).withColumn("to", F.col("after") * step + F.col("lo"))
+    on, up = doc.orderBy("from").rangeBetween(0, min_words * step - 1), doc.orderBy("to").rangeBetween(1 - min_words * step, 0)
+    held = lambda over: F.struct(F.min("lo").over(over).alias("lo"), F.max("hi").over(over).alias("hi"), F.sum("w").over(over).alias("w"), F.min(F.struct("h", (-F.col("lo")).alias("last"))).over(over).alias("least"), F.collect_list("h").over(over).alias("hs"))
+    rows = rows.select("id", "t", held(on).alias("on"), held(up).alias("up"))
+    rows = rows.select("id", "t", F.explode(F.array("on", "up")).alias("x")).where(F.col("x.w") >= min_words)
+    return rows.select("id", "t", "x.lo", "x.hi", (-F.col("x.least.last")).alias("at"), F.col("x.least.h").alias("h"), F.xxhash64("x.hs").alias("run"))
 
 
 def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, t, gone): for each document with any, the numbers of the lines that repeat an earlier run.
 
-    A fingerprint's source is its first position in the order of documents and lines. Each later position gives a
-    diagonal: two documents and a shift. The diagonal's maximal runs of equal lines that hold a chosen line and have
-    ``min_words`` words go. A line's first position anywhere is never a later one, so no line is lost altogether.
+    Windows whose fingerprint is chosen at one position only are unlike any other and leave first. The rest are joined with
+    the first position of the same whole window, whatever stands around it there; each later one goes. A line of a repeated
+    run has a window within the run, on from it, up to it or across it, so together the windows extend to all of the run,
+    wherever each was first. A line's first position anywhere is in no later window, so no line is lost altogether.
     """
-    chosen = materialise(fingerprints(lines, min_words), "chosen")
-    position = F.struct(_order().alias("doc"), F.col("at").alias("at"))
-    sources = chosen.groupBy("h").agg(F.min(position).alias("s"), F.count("*").alias("n")).where("n > 1")
-    sources = materialise(sources.select(F.col("h").alias("sh"), "s"), "sources")
-    later = chosen.join(sources, F.col("h") == F.col("sh")).where(F.col("s") < position)
-    diagonal = later.groupBy("id", "t", F.col("s.doc.id").alias("sid"), F.col("s.doc.t").alias("st"), (F.col("at") - F.col("s.at")).alias("shift")).agg(F.collect_list("at").alias("ats"))
-    diagonal = materialise(diagonal, "diagonals")
-
-    a, b = lines.alias("a"), lines.alias("b")
-    both = diagonal.alias("d").join(a, F.expr("a.id <=> d.id and a.t = d.t")).select("d.*", F.col("a.h").alias("h"), F.col("a.w").alias("w"))
-    both = both.alias("d").join(b, F.expr("b.id <=> d.sid and b.t = d.st")).select("d.*", F.col("b.h").alias("sh"))
-    # Where the documents part on this diagonal, with the places before the first line and after the last.
-    n, shift = F.size("h"), F.col("shift")
-    same = lambda i: F.coalesce((i >= shift) & (F.get("h", i) == F.get("sh", i - shift)), F.lit(False))
-    parted = F.filter(F.sequence(F.lit(-1), n), lambda i: ~same(i))
-    run = lambda bad, at: F.struct((F.array_max(F.filter(bad, lambda i: i < at)) + 1).alias("lo"), (F.array_min(F.filter(bad, lambda i: i > at)) - 1).alias("hi"))
-    words = lambda r: F.aggregate(F.slice("w", r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0).cast("long"), lambda x, y: x + y)
-    # A lambda's argument is worked out once; a column that another lambda refers to would be worked out at each of its steps.
-    runs = F.flatten(F.transform(F.array(parted), lambda bad: F.array_distinct(F.transform("ats", lambda at: run(bad, at)))))
-    gone = both.select("id", "t", F.filter(runs, lambda r: words(r) >= min_words).alias("runs")).where(F.size("runs") > 0)
-    gone = gone.select("id", "t", F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["hi"]))).alias("gone"))
-    return gone.select("id", "t", F.explode("gone").alias("line")).groupBy("id", "t").agg(F.collect_set("line").alias("gone"))
+    every = materialise(windows(lines, min_words), "windows")
+    chosen = F.xxhash64("id", "t", "at")
+    again = every.groupBy("h").agg(F.min(chosen).alias("a"), F.max(chosen).alias("b")).where("a < b").select(F.col("h").alias("ah"))
+    some = materialise(every.join(again.hint("shuffle_hash"), F.col("h") == F.col("ah"), "left_semi"), "candidates")
+    position = F.struct(_order().alias("doc"), F.col("lo").alias("lo"))
+    first = some.groupBy(F.col("h").alias("fh"), F.col("run").alias("frun")).agg(F.min(position).alias("s"), F.max(position).alias("e")).where("s < e")
+    first = materialise(first.select("fh", "frun", "s"), "sources")
+    later = some.join(first, (F.col("h") == F.col("fh")) & (F.col("run") == F.col("frun"))).where(F.col("s") < position)
+    return later.select("id", "t", F.explode(F.sequence("lo", "hi")).alias("line")).groupBy("id", "t").agg(F.collect_set("line").alias("gone"))
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, min_words: int, mark: str) -> DataFrame:
@@ -93,7 +98,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Earlier: in a document with a smaller id (null ids last, then by the text's hash), or above in the same one. Rows with
     the same id and text count as one document and stay equal. Null texts stay null and empty texts empty; a document that
-    is a copy is left with what no earlier one has, perhaps nothing. Lines are compared by 64-bit hashes.
+    is a copy is left with what no earlier one has, perhaps nothing. Lines are compared by 64-bit hashes, and runs by two. Lines without words that follow one
+    another count as one line.
     """
     (mark,) = fresh(docs, "gone_lines")
     return _marked(docs, id_col, text_col, min_words, mark).withColumn(text_col, _left(text_col, mark)).select(*docs.columns)

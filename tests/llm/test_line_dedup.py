@@ -1,3 +1,6 @@
+import random
+import re
+
 import xxhash
 
 from palimpsest.llm import line_dedup
@@ -79,3 +82,37 @@ def test_odd_rows(odd, empty):
 def test_runs_no_python(docs):
     plan = line_dedup.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def exact(docs, min_words):
+    """docs: (order, text) in order; what is left without each line that is in a run of so many words seen earlier, anywhere."""
+    words = lambda s: len(s.encode().split())
+    seen, out = {}, {}
+    for key, text in docs:
+        lines = text.split("\n")
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(map(words, lines[a:b])) >= min_words]
+        for a, b in runs:
+            seen.setdefault(tuple(lines[a:b]), (key, a))
+        gone = {i for a, b in runs if seen[tuple(lines[a:b])] < (key, a) for i in range(a, b)}
+        out[key] = "\n".join(s for i, s in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_any_earlier_run_counts_not_only_the_first_of_its_fingerprint(spark):
+    line = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    names = sorted((line(f"n{i}w", 20) for i in range(30)), key=signed_hash)
+    x = names[0]  # the least hash, so that every window with it chooses it
+    y, p = line("y", 40), line("p", 40)
+    rows = [(1, f"{x}\n{p}"), (2, f"{x}\n{y}"), (3, f"{x}\n{y}"), (4, f"own\n{x}\n{y}\n\nand its end")]
+    rows += [(5, f"{line('z', 60)}\nother"), (6, f"{line('z', 60)}\ntail of three"), (7, f"{line('z', 60)}\ntail of three\nnew")]
+    got = {r.doc_id: r.text for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == exact(rows, 50)
+    assert got[3] == "" and got[4] == "own\n\nand its end" and got[7] == "new"
+
+
+def test_agrees_with_all_runs(spark):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice(["a", "b b", "c c c", "d d", ""] if i % 2 else ["a", "b b", "c c c"]) for _ in range(rng.randint(1, 14)))) for i in range(120)]
+    rows = [(i, re.sub("\n\n+", "\n\n", t).strip("\n")) for i, t in rows]
+    got = {r.doc_id: r.text for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), min_words=8).collect()}
+    assert got == exact(rows, 8)
