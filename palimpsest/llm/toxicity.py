@@ -62,12 +62,15 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((c3 + 10 * p2[None]) / (c3.sum(2, keepdims=True) + 10)).astype(np.float32)
 
 
-# Single letters with a sign or space between; signs within or before letters; a letter three times.
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]|[0134578@$!|](?=[ .\-_*~]))(?:[ .\-_*~](?:[^\W\d_]|[0134578@$!|])){2,}(?![^\W_])")
-_SIGNED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?:[0-9@$!|+€£]{0,2}[^\W\d_]+(?:[0-9@$!|+€£*#(._\-]{1,2}[^\W\d_]+)+|[0-9@$!|+€£]{1,2}[^\W\d_]{2,})[0-9@$!|+€£]{0,1}(?=[\s,.;:?!]|$)")
+# Single letters with signs or spaces between; pieces of a letter or two with spaces between; signs within, before or after
+# letters, bounded by what is neither letter nor digit; a letter twice. The decoder says what each of them is.
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]|[0134578@$!|](?=[\s.\-_*~/,]))(?:[\s.\-_*~/,]+(?:[^\W\d_]|[0134578@$!|])){2,}(?![^\W_])")
+_PIECES = re.compile(r"(?<![^\W_])[^\W\d_]{1,2}(?:\s+[^\W\d_]{1,2}){2,}(?![^\W_])")
+_SIGNED = re.compile(r"(?<![^\W_])(?<![@$!|+€£])(?:[0-9@$!|+€£]*[^\W\d_]+(?:[0-9@$!|+€£*#(._~\-]+[^\W\d_]+)+|[0-9@$!|+€£]+[^\W\d_]+|[^\W\d_]+(?=[0-9@$!|+€£]*[0-9@$|+€£]))[0-9@$!|+€£]*(?![^\W_])")
 # What any span of _SIGNED has: a quicker look at texts that have none.
-_HINT = re.compile(r"[^\W\d_][0-9@$!|+€£*#(._\-]{1,2}[^\W\d_]|(?<!\S)[0-9@$!|+€£]{1,2}[^\W\d_]{2}")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1+", re.I)
+_HINT = re.compile(r"[^\W\d_](?:[0-9@$!|+€£*#(._~\-]+[^\W\d_]|!*[0-9@$|+€£])|[0-9@$!|+€£][^\W\d_]")
+_DOUBLE = re.compile(r"([^\W\d_])\1", re.I)
+_APART = re.compile(r"\s|[._~\-]{2}")
 
 
 class Restorer:
@@ -95,9 +98,11 @@ class Restorer:
                     reads.append((c * n, -3.0 * n))
             else:
                 reads += [(r, SWAP * (1.0 if len(LEET[c]) < 3 else 1.6) + (n - 1) * REPEAT) for r in LEET.get(c, "")]
-                if c in " .-_*~" and inner:
+                if n > 1:  # two letters, alike or not
+                    reads += [(r + q, 2 * SWAP * (1.0 if len(LEET[c]) < 3 else 1.6) + (n - 2) * REPEAT) for r in LEET.get(c, "") for q in LEET[c]]
+                if inner and (c in ".-_*~/," or c.isspace()):
                     reads.append(("", DROP * n))
-                reads.append((c * n, KEEP if inner or c in LEET else -0.1))
+                reads.append((c * n, KEEP if inner or c in LEET and (c != "!" or i == 0) else -0.1))
             out.append(reads)
             i = j
         return out
@@ -130,13 +135,14 @@ class Restorer:
         return self.known[span]
 
     def restore(self, text: str | None) -> str:
-        """The text in lower case, with disguised spans as read. Spaced letters are read both ways and kept beside what they spell."""
+        """The text in lower case, with disguised spans as read. What stands apart is kept beside what it spells together."""
         low = (text or "").lower()
-        low = _SPACED.sub(lambda m: f"{m[0]} {self.read(m[0])}" if " " in m[0] else self.read(m[0]), low)
+        read = lambda m: f"{m[0]} {self.read(m[0])}" if _APART.search(m[0]) else self.read(m[0])
+        low = _PIECES.sub(read, _SPACED.sub(read, low))
         if _HINT.search(low):
-            low = _SIGNED.sub(lambda m: self.read(m[0]), low)
+            low = _SIGNED.sub(read, low)
         out, last = [], 0
-        for m in _TRIPLE.finditer(low):
+        for m in _DOUBLE.finditer(low):
             a, b = m.span()
             if a >= last:  # the whole word around it
                 while a > last and low[a - 1].isalpha():

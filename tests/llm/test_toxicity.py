@@ -73,3 +73,22 @@ def test_odd_rows(odd, empty, no_labels, labels):
     assert len(rows) == odd.count() and all(r.score == 0.0 and r.predicted == 0 for r in rows)
     assert toxicity.evaluate(empty, labels).count() == 0
     assert all(r.held_out for r in rows if r.doc_id is None)
+
+
+@pytest.mark.parametrize(
+    ("shown", "meant"),
+    [(x, "loser") for x in ("l053r", "l0$3r", "l0ser***", "l....o....s....e....r")]
+    + [(x, "worthless") for x in ("w0r7hl355", "w0rthl355", "w0rthl3$$")]
+    + [(x, "idiot") for x in ('"1d10t"', "(1d10t)", "1d10t's", "you/1d10t", "id10t###", "iidiiot", "i * d * i * o * t", "i\nd\ni\no\nt")]
+    + [("d15gu571ng", "disgusting"), ("p4th371c", "pathetic"), ("scuum", "scum"), ("s  t  u  p  i  d", "stupid"), ("st up id", "stupid"), ("5h17", "shit")],
+)
+def test_restores_runs_of_signs_in_any_surroundings(shown, meant):
+    s = toxicity._S
+    c3 = toxicity.count_trigrams([TEXT + "shit happens " * 30]).astype(float).reshape(s, s, s)
+    r = toxicity.Restorer(np.log((c3 + 0.1) / (c3.sum(2, keepdims=True) + 0.1 * s)).astype(np.float32))
+    assert meant in toxicity._WORDS.findall(r.restore(f"people, {shown}, people"))
+
+
+def test_keeps_what_stands_apart(restorer):
+    got = toxicity._WORDS.findall(restorer.restore("stupid...idiot! it is so and a letter"))
+    assert {"stupid", "idiot", "it", "is", "so", "and"} <= set(got)
