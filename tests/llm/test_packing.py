@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -13,18 +13,48 @@ from palimpsest.llm import packing
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def classes_well(n, capacity, padding):
+    return capacity % n <= padding * capacity
+
+
 @given(st.integers(1, 60_000))
+@settings(deadline=None)
 def test_pieces_add_up(n):
     got = packing.cut(n)
-    assert sum(got) == n and all(0 < x <= 4096 for x in got)
-    assert sum(x & (x - 1) != 0 for x in got) <= 1 and len(got) <= n // 4096 + 7
+    assert sum(got) == n and all(0 < x <= 4096 and classes_well(x, 4096, packing.PADDING) for x in got)
+    assert len(got) <= n // 4096 + 3
+
+
+def test_rests_are_the_fewest_pieces():
+    good = [n for n in range(1, 97) if classes_well(n, 96, 1 / 16)]
+    fewest = {0: 0}
+    for n in range(1, 97):
+        fewest[n] = 1 + min(fewest[n - g] for g in good if g <= n)
+    got = packing.rests(96, 1 / 16)
+    assert [len(x) for x in got] == [fewest[n] for n in range(97)]
+    assert all(sum(x) == n and set(x) <= set(good) for n, x in enumerate(got))
+
+
+def test_memory_keeps_what_is_common(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 4)
+    memory, asked = packing.Memory(), []
+
+    def work(words):
+        asked.extend(words)
+        return [w.encode() for w in words]
+
+    for i in range(20):
+        words = ["the", "of", f"w{i}", f"v{i}"]
+        assert memory.all(words, work) == [w.encode() for w in words]
+        assert len(memory.young) + len(memory.old) <= 16
+    assert asked.count("the") == asked.count("of") == 1 and len(asked) == 42
 
 
 def test_ids_are_the_tokenizers():
     odd = ["It's we're o'clock ΣΑΣ", "½ cup² Ⅷ", "a\x1cb c\x1dd", "hi<|endoftext|>there <| x", "éa İstanbul ŒUVRE ß", "日本語 12 345", "__a__ ''", "", "   ", None, " a\u0085b　c", "!!\n\t x--y", "\U0001f642 text", " lead  and trail ", "é café"]
     for texts in (odd, odd[4:9], [None], []):
         got = list(packing.WordIds("word_bpe_49k.json").batches(pa.array(texts, pa.string())))
-        assert [x.tolist() for x in got] == [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def checked(rows, texts):
