@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,38 @@ from palimpsest.scratch import delete, leave, shared_dir
 
 #: ASCII white space, as the contracts take it: space and \x09 to \x0D; bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words that a worker remembers in each of two generations; longer words aren't remembered.
+REMEMBERED, LONGEST = 250_000, 48
+
+
+class Memory:
+    """What has been worked out for words, in two generations: a full young one becomes the old one, whose words come back
+    when they are met again. So what is common stays, and no more than twice ``REMEMBERED`` are held."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, Any] = {}
+        self.old: dict[str, Any] = {}
+
+    def all(self, words: list[str], work: Callable[[list[str]], Sequence]) -> list:
+        """What is known of each of the distinct ``words``; ``work`` makes those that aren't remembered."""
+        young, old = self.young, self.old
+        got = list(map(young.get, words))
+        left = [i for i, x in enumerate(got) if x is None]
+        new = []
+        for i in left:
+            w = words[i]
+            if w in old:
+                got[i] = young[w] = old[w]
+            else:
+                new.append(i)
+        asked = [words[i] for i in new]
+        for i, w, x in zip(new, asked, work(asked) if new else ()):
+            got[i] = x
+            if len(w) <= LONGEST:
+                young[w] = x
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        return got
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import re
 import sys
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -19,12 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, materialise
+from palimpsest.llm.common import Memory, arrow_map, materialise
 
 #: A sequence's share of padding, at most, in the classes into which documents are cut.
 PADDING = 1 / 32
-#: Words, and parts of words, that a worker remembers in each of two generations; longer words aren't remembered.
-REMEMBERED, LONGEST = 250_000, 48
 #: Bytes of text that a worker takes at once, and rows in a bucket of a class, about.
 AT_ONCE, BUCKET = 16 << 20, 8192
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -38,36 +36,6 @@ def _plain() -> frozenset[str]:
     return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if (k := unicodedata.category(c)) not in ("Cn", "No", "Nl") and old(c)[0] == k[0] and c != "\u03a3")
 
 
-class Memory:
-    """What has been worked out for words, in two generations: a full young one becomes the old one, whose words come back
-    when they are met again. So what is common stays, and no more than twice ``REMEMBERED`` are held."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def all(self, words: list[str], work: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """The bytes of each of the distinct ``words``; ``work`` makes those that aren't remembered."""
-        young, old = self.young, self.old
-        got = list(map(young.get, words))
-        left = [i for i, x in enumerate(got) if x is None]
-        new = []
-        for i in left:
-            w = words[i]
-            if w in old:
-                got[i] = young[w] = old[w]
-            else:
-                new.append(i)
-        asked = [words[i] for i in new]
-        for i, w, x in zip(new, asked, work(asked) if new else ()):
-            got[i] = x
-            if len(w) <= LONGEST:
-                young[w] = x
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        return got
-
-
 class WordIds:
     """Ids of whole texts. The tokenizer treats what stands between white space apart, and splits it into runs of letters,
     digits and other signs. Arrow finds the distinct words of many texts; those not met before are split into parts, parts

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from palimpsest.llm import packing
+from palimpsest.llm import common, packing
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,8 +36,8 @@ def test_rests_are_the_fewest_pieces():
 
 
 def test_memory_keeps_what_is_common(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 4)
-    memory, asked = packing.Memory(), []
+    monkeypatch.setattr(common, "REMEMBERED", 4)
+    memory, asked = common.Memory(), []
 
     def work(words):
         asked.extend(words)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import toxicity
@@ -92,3 +93,29 @@ def test_restores_runs_of_signs_in_any_surroundings(shown, meant):
 def test_keeps_what_stands_apart(restorer):
     got = toxicity._WORDS.findall(restorer.restore("stupid...idiot! it is so and a letter"))
     assert {"stupid", "idiot", "it", "is", "so", "and"} <= set(got)
+
+
+PLAIN = "2nd 3rd 4th h2o covid19 mp3 4k b2b v2 10am 90s x86 a4 1st html5 i18n s3 ipv4"
+SHOWN = '"5tup1d" [5tup1d] *w0rthless* a$$ 7h15 y0u ar3 7h3 stuupiid st\u200bupid 1d10t!!!'
+MEANT = {"stupid", "worthless", "as", "this", "you", "are", "the", "idiot"}
+
+
+@pytest.fixture(scope="module")
+def of_corpus(spark):
+    lm = toxicity.language_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    return toxicity.Restorer(lm)
+
+
+def test_numbers_and_names_stay_under_the_corpus_model(of_corpus):
+    assert of_corpus.restore(PLAIN) == PLAIN
+
+
+def test_disguises_are_read_under_the_corpus_model(of_corpus):
+    assert toxicity.words(of_corpus.restore(SHOWN)) == MEANT
+
+
+def test_reader_finds_what_restored_texts_have(of_corpus, docs, odd):
+    texts = [r.text for df in (docs, odd) for r in df.select("text").collect()] + [SHOWN, "s t u p i d", "a i d i o t", "", None, "i\nd\ni\no\nt", "st up id it is so"]
+    reader = toxicity.Reader(of_corpus, toxicity.words)
+    assert list(reader.sets(pa.array(texts, pa.string()))) == [toxicity.words(of_corpus.restore(t)) for t in texts]
+    assert list(reader.sets(pa.array([], pa.string()))) == []
