@@ -6,13 +6,16 @@ The log of most queries is ``events``: key user_id, seq event_id, a tombstone wh
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import codec
 from palimpsest.operators import changelog, compaction, placement, replication, runs, snapshot
+from palimpsest.scratch import leave, shared_dir
 from palimpsest.sources import frames, manifest
+from palimpsest.store import Sharded, Store
 from palimpsest.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,13 +226,14 @@ def run_record_encode(spark, sf_dir):
     return c.select("c_custkey", F.hex(codec.record(key, F.col("c_mktsegment"))).alias("record"))
 
 
-@query("select c_custkey, true as same, octet_length(encode(c_name)) + octet_length(encode(c_mktsegment)) + 21 as n_bytes from customer")
+HEX_BYTES = "list_transform(range(length({c}) // 2), lambda i: (strpos('0123456789ABCDEF', substr({c}, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr({c}, 2 * i + 2, 1)) - 1)"
+
+
+@query(FRAME + f", q as (select c_custkey, {LE.format(c='kn')} || k || {LE.format(c='vn')} || v as body from p), z as (select c_custkey, body, printf('%08X', {CRC_SQL.replace(ASCII, HEX_BYTES).format(c='body')}) as crc from q) select c_custkey, {LE.format(c='crc')} || body as frame from z")
 def wal_frame_encode(spark, sf_dir):
     c = _table(spark, sf_dir, "customer")
     frame = codec.log_frame(codec.encode_key(F.col("c_name"), F.col("c_custkey"), F.lit(codec.PUT)), F.col("c_mktsegment"))
-    crc = codec.number(codec.reversed_bytes(F.substring(frame, 1, 4), 4))
-    body = F.substring(frame, F.lit(5), F.octet_length(frame) - 4)
-    return c.select("c_custkey", (crc == F.crc32(body)).alias("same"), F.octet_length(frame).cast("long").alias("n_bytes"))
+    return c.select("c_custkey", F.hex(frame).alias("frame"))
 
 
 # Sizes, runs, indexes
@@ -437,6 +441,41 @@ def wire_request_decode(spark, sf_dir):
     return got.select("pos", "d.status", "d.op", F.col("d.key").cast("string").alias("key"), F.col("d.value").cast("string").alias("value"))
 
 
+BAD = "case pos % 5 when 0 then 'ok' when 1 then 'short' when 2 then 'too_large' when 3 then 'bad_key_length' else 'short' end"
+
+
+@query(f"with {REQUEST} select pos, {BAD} as status, case when pos % 5 = 0 then op else -1 end as op, case when pos % 5 = 0 then key end as key, case when pos % 5 = 0 then value end as value from req")
+def wire_request_errors(spark, sf_dir):
+    """Frames that are whole, cut off in the value, of a size above the cap, with a key longer than the frame, cut off in the head."""
+    r = _requests(spark, sf_dir)
+    good, kind = codec.encode_request(F.col("op"), F.col("key"), F.col("value")), F.col("pos") % 5
+    rest = lambda at: F.substring(good, F.lit(at), F.octet_length(good))
+    frame = (
+        F.when(kind == 0, good)
+        .when(kind == 1, F.substring(good, F.lit(1), F.octet_length(good) - 1))
+        .when(kind == 2, F.concat(codec.big_endian(F.lit(codec.MAX_PAYLOAD + 1), 4), rest(5)))
+        .when(kind == 3, F.concat(F.substring(good, 1, 5), codec.big_endian(F.octet_length(good), 2), rest(8)))
+        .otherwise(F.substring(good, 1, 6))
+    )
+    got = r.select("pos", codec.decode_request(frame).alias("d"))
+    return got.select("pos", "d.status", F.coalesce("d.op", F.lit(-1)).alias("op"), F.col("d.key").cast("string").alias("key"), F.col("d.value").cast("string").alias("value"))
+
+
+@query(f"with {REQUEST} select pos, printf('%08X', 1 + case pos % 3 when 0 then octet_length(encode(value)) else 0 end) || printf('%02X', pos % 3) || case pos % 3 when 0 then hex(encode(value)) else '' end as frame from req")
+def wire_response_statuses(spark, sf_dir):
+    """Answers that are found, not found and failed; only the first has a value."""
+    status = (F.col("pos") % 3).cast("int")
+    return _requests(spark, sf_dir).select("pos", F.hex(codec.encode_response(status, F.when(status == 0, F.col("value")))).alias("frame"))
+
+
+@query(ROUTED + ", r as (select node, o_orderstatus = 'F' as del from routed join orders on o_custkey = c_custkey) select node, count(*) as requests, count(*) filter (where del) as deletes from r group by node")
+def gateway_requests(spark, sf_dir):
+    """What a gateway sends each shard of the requests for customers' orders."""
+    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
+    sent = Sharded(_ring(spark, sf_dir)).route(c.join(o, c.c_custkey == o.o_custkey).select("c_name", "o_orderstatus"), "c_name")
+    return sent.groupBy("node").agg(F.count("*").alias("requests"), F.count_if(F.col("o_orderstatus") == "F").alias("deletes"))
+
+
 @query(f"""with {REQUEST}, w as (select * from req where op <> 1), g as (select r.pos, w.op as wop, w.value, row_number() over (partition by r.pos order by w.pos desc) as rn from req r left join w on w.key = r.key and w.pos < r.pos where r.op = 1)
     select pos, case when wop = 2 then 0 else 1 end as status, case when wop = 2 then value end as value from g where rn = 1 union all select pos, 0, null from w""")
 def wire_dispatch(spark, sf_dir):
@@ -477,14 +516,15 @@ def commit_index(spark, sf_dir):
     return replication.commit_index(p, log, 2, 5)
 
 
-RLOG = "leader as (select event_id as idx, event_id // 1000 + 1 as term from events), follower as (select u.user_id % 7 as replica, e.event_id as idx, e.event_id // 1000 + case when (u.user_id % 7) * 1300 < e.event_id then 2 else 1 end as term from events e, (select distinct user_id from events where user_id < 7) u where e.event_id < 9000 - (u.user_id % 7) * 100)"
+RLOG = "leader as (select event_id as idx, event_id // 1000 + 1 as term from events), follower as (select replica, e.event_id as idx, e.event_id // 1000 + case when replica * 1300 < e.event_id then 2 else 1 end as term from events e, (select distinct n_nationkey % 7 as replica from nation) where e.event_id <= (select max(event_id) from events) - replica * 100)"
 
 
 def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = _table(spark, sf_dir, "events")
     leader = e.select(F.col("event_id").alias("index"), (F.floor(F.col("event_id") / 1000) + 1).alias("term"), F.col("event_type").alias("command"))
-    names = e.where("user_id < 7").select((F.col("user_id") % 7).alias("replica")).distinct()
-    rows = leader.join(F.broadcast(names), F.col("index") < 9000 - F.col("replica") * 100)  # seven rows at most
+    names = [r.replica for r in _table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 7).alias("replica")).distinct().orderBy("replica").collect()]  # seven at most
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    rows = leader.select("*", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<int>")).alias("replica")).where(F.col("index") <= top - F.col("replica") * 100)
     follower = rows.withColumn("term", F.floor(F.col("index") / 1000) + F.when(F.col("replica") * 1300 < F.col("index"), 2).otherwise(1))
     return leader, follower.select("replica", "index", "term", "command")
 
@@ -582,15 +622,66 @@ def heartbeat_sessions(spark, sf_dir):
 
 @query(f"with {LOG} select key, seq, value from ({NEWEST.format(t='top')}) where op = 1")
 def stream_latest(spark, sf_dir):
-    """The streamed state after all of the table, read as a stream that ends."""
-    from uuid import uuid4
-
+    """The table read as a stream that ends, committed to a store in micro-batches, and what the store then has."""
     schema = _table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(sf_dir + "/events.parquet*")
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir + "/events.parquet*")
     log = changelog.changelog(source, F.col("user_id"), F.col("event_id"), F.col("value"), F.col("event_type") == "error")
-    name = f"latest_{uuid4().hex}"
-    q = ingest.latest(log).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).where(F.col("op") == codec.PUT).select("key", "seq", "value")
+    folder = _folder(spark, "stream")
+    store = Store(spark, f"{folder}/store", value="double", key="long")
+    ingest.ingest(log, store, f"{folder}/checkpoint").awaitTermination()
+    return Store(spark, f"{folder}/store", value="double", key="long").snapshot()
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted at the end."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    leave(spark, folder)
+    return folder
+
+
+# A store in a folder: orders put in four batches by status and key, tombstones, a compaction, and a reopening.
+
+CYCLE = """put as (select o_custkey as key, o_orderkey, o_totalprice as value, o_orderkey % 4 as b from orders), n as (select *, count(*) over (partition by b) as in_batch from put),
+    base as (select b, cast(coalesce(sum(c) over (order by b rows between unbounded preceding and 1 preceding), 0) as bigint) as before from (select b, count(*) as c from put group by b)),
+    numbered as (select key, before + row_number() over (partition by b order by o_orderkey) as seq, 1 as op, value from put join base using (b)),
+    dead as (select distinct o_custkey as key from orders where o_orderstatus = 'P'),
+    log as (select * from numbered union all select key, (select count(*) from put) + row_number() over (order by key) as seq, 0 as op, null as value from dead)"""
+
+
+def _cycled(spark: SparkSession, sf_dir: str) -> Store:
+    o = _table(spark, sf_dir, "orders")
+    folder = _folder(spark, "cycle")
+    store = Store(spark, folder, value="double", key="long")
+    for b in range(4):
+        store.put(o.where(F.col("o_orderkey") % 4 == b).select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), "o_orderkey"), ["o_orderkey"])
+    store.delete(o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key")).distinct())
+    return Store(spark, folder, value="double", key="long")
+
+
+def _newest(log: str, upto: str) -> str:
+    return f"select key, seq, value from (select *, row_number() over (partition by key order by seq desc) as rn from {log} where seq <= {upto}) where rn = 1 and op = 1"
+
+
+@query(f"with {CYCLE} {_newest('log', '(select count(*) from put)')}")
+def store_reopened(spark, sf_dir):
+    """As of the last put, read by a store that was opened anew."""
+    store = _cycled(spark, sf_dir)
+    gone = _table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey").distinct().count()
+    return store.snapshot(store.next_seq() - gone)
+
+
+@query(f"with {CYCLE}, h as (select before as h from base where b = 2), kept as (select * from log, h where seq > h union all (select key, seq, op, value, h from (select *, row_number() over (partition by key order by seq desc) as rn from log, h where seq <= h) where rn = 1 and op = 1)) select key, seq, op, value from kept")
+def store_compacted(spark, sf_dir):
+    """All entries after the four oldest runs are merged, with what the first two batches hold as the horizon."""
+    store = _cycled(spark, sf_dir)
+    horizon = _table(spark, sf_dir, "orders").where("o_orderkey % 4 < 2").count()
+    store.compact(horizon)
+    store.vacuum()
+    return Store(spark, store.folder, value="double", key="long").log().drop("run_id")
 
 
+@query(f"with {CYCLE}, v as (select distinct b as pos from put union all select 4) select pos, case when pos < 4 then (select before from base where base.b = pos) + (select count(*) from put where put.b = pos) else (select max(seq) from log) end as max_seq from v")
+def store_runs(spark, sf_dir):
+    """The catalog's live runs by age, with the last number of each."""
+    runs_ = _cycled(spark, sf_dir).catalog.runs()
+    return spark.createDataFrame([(i, r["max_seq"]) for i, r in enumerate(runs_)], "pos long, max_seq long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.codec import DELETE, PUT
+from palimpsest.operators.order import numbered
 
 
 def changelog(df: DataFrame, key: Column, seq: Column, value: Column, deleted: Column | None = None) -> DataFrame:
@@ -19,18 +20,8 @@ def last_seq(log: DataFrame) -> int:
 
 
 def number_rows(batch: DataFrame, order: list[str], base: int) -> DataFrame:
-    """``batch`` with seq = base + 1, 2, ... in the given order: counts by range partition give each its first number, so
-    no task sorts the whole batch."""
-    sorted_rows = batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    per = {r["_part"]: r["count"] for r in sorted_rows.groupBy("_part").count().collect()}
-    first, at = {}, base
-    for p in sorted(per):
-        first[p], at = at, at + per[p]
-    if not first:
-        return batch.withColumn("seq", F.lit(None).cast("long"))
-    starts = F.create_map(*(F.lit(x) for p, s in first.items() for x in (p, s)))
-    # The low 33 bits of the id are the row's place in its partition.
-    return sorted_rows.withColumn("seq", (starts[F.col("_part")] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_part", "_at")
+    """``batch`` with seq = base + 1, 2, ... in the given order, whatever its size; see ``order.numbered``."""
+    return numbered(batch, order, base, "seq")
 
 
 def put(log: DataFrame, batch: DataFrame, order: list[str], base: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.codec import PUT
@@ -20,9 +20,10 @@ def retain(log: DataFrame, horizon: int, retention: str = "key") -> DataFrame:
     """
     by = ["key"] if retention == "key" else ["run_id", "key"]
     old = F.col("seq") <= horizon
-    w = Window.partitionBy(*by, old).orderBy(F.col("seq").desc(), F.col("op").desc())
-    kept = log.withColumn("_rank", F.row_number().over(w))
-    return kept.where(~old | ((F.col("_rank") == 1) & (F.col("op") == PUT))).drop("_rank")
+    # Of the old versions a task sends on one for each of its keys; the others don't move at all.
+    newest = log.where(old).groupBy(*by).agg(F.max_by(F.struct(*log.columns), F.struct("seq", "op")).alias("_top"))
+    kept = newest.where(F.col("_top.op") == PUT).select(*(F.col("_top")[c].alias(c) for c in log.columns))
+    return log.where(~old).unionByName(kept)
 
 
 def choose(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.scratch import materialise
+
 
 def last_info(log: DataFrame) -> DataFrame:
     """(replica, last_index, last_term) of each replica's log."""
@@ -79,7 +81,10 @@ def follow(leader: DataFrame, follower: DataFrame) -> DataFrame:
     the table, so it isn't in the result.
     """
     columns = ["replica", "index", "term", "command"]
-    cut = divergence(leader, follower).join(last_info(follower), "replica").select("replica", F.coalesce("first_conflict", F.col("last_index") + 1).alias("cut"))
+    other = leader.select("index", F.col("term").alias("_term"))
+    conflict = F.min(F.when(F.col("term") != F.col("_term"), F.col("index")))
+    cut = follower.select("replica", "index", "term").join(other, "index", "left").groupBy("replica").agg(F.coalesce(conflict, F.max("index") + 1).alias("cut"))
+    cut = materialise(cut, "cuts")  # a row for each replica, read twice
     # Replicas are few, entries many: the entries stay where they are.
     own = follower.join(cut, "replica").where(F.col("index") < F.col("cut"))
     new = leader.select("index", "term", "command").join(cut, F.col("index") >= F.col("cut"))

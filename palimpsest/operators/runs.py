@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import codec
+from palimpsest.operators import order
+from palimpsest.scratch import materialise
 
 
 def with_size(log: DataFrame) -> DataFrame:
@@ -17,9 +19,8 @@ def with_size(log: DataFrame) -> DataFrame:
 
 
 def running_size(log: DataFrame, shard: list[str] | None = None) -> DataFrame:
-    """With the bytes that the entries so far of each shard count for."""
-    w = Window.partitionBy(*(shard or ["key"])).orderBy("seq", "op").rowsBetween(Window.unboundedPreceding, 0)
-    return with_size(log).withColumn("running", F.sum("size").over(w))
+    """With the bytes that the entries so far of each shard count for; a shard with most of the log is summed in parts."""
+    return order.running_sum(with_size(log), shard or ["key"], ["seq", "op"], "size", "running")
 
 
 def _greedy(size: np.ndarray, limit: int, held: int) -> tuple[np.ndarray, int]:
@@ -36,7 +37,7 @@ def _greedy(size: np.ndarray, limit: int, held: int) -> tuple[np.ndarray, int]:
     return out, 0
 
 
-def segment(rows: DataFrame, shard: str, order: list[str], limit: int, size: str = "size", out: str = "segment") -> DataFrame:
+def segment(rows: DataFrame, shard: str, by: list[str], limit: int, size: str = "size", out: str = "segment") -> DataFrame:
     """``rows`` with the number of their run within the shard: entries are taken in order, and a run closes once its sizes
     reach ``limit``; the overshoot isn't carried on, so the number isn't a function of the running sum.
 
@@ -65,7 +66,7 @@ def segment(rows: DataFrame, shard: str, order: list[str], limit: int, size: str
                 k += int(own[-1]) + closed
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seg)], [*columns, out])
 
-    return rows.repartition(shard).sortWithinPartitions(shard, *order).mapInArrow(run, schema)
+    return rows.repartition(shard).sortWithinPartitions(shard, *by).mapInArrow(run, schema)
 
 
 def flush_runs(log: DataFrame, limit: int = 4 << 20) -> DataFrame:
@@ -78,8 +79,35 @@ def zone_map(runs: DataFrame, key: str = "key") -> DataFrame:
 
 
 def prune(probes: DataFrame, zones: DataFrame) -> DataFrame:
-    """Which runs each probe (key) may be in. A zone map has a row for each run; it isn't hinted, so its size decides."""
-    return probes.join(zones, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).select(*probes.columns, "run_id")
+    """Which runs each probe (key) may be in.
+
+    Keys are ranked among the runs' bounds: a bound has an even rank, what lies between two an odd one, so a run covers a
+    range of ranks. The range is cut into its aligned blocks of powers of two, two of each size at most; a probe is in one
+    block of each size. So they meet by equal blocks, and no probe is compared with a run that it isn't in.
+    """
+    bounds = materialise(order.numbered(zones.select(F.explode(F.array("min_key", "max_key")).alias("bound")).distinct().where("bound is not null"), ["bound"]).withColumn("number", F.col("number") * 2), "bounds")
+    bits = max(2, (2 * bounds.count() + 1).bit_length() + 1)
+    lo, hi = (bounds.select(F.col("bound").alias(c), F.col("number").alias(n)) for c, n in (("min_key", "_lo"), ("max_key", "_hi")))
+    ranges = zones.join(lo, "min_key").join(hi, "max_key").select("run_id", "_lo", "_hi")
+    # At level b, of what is left of the range, the first block if it is a right one, and the last if it is a left one.
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+    state = F.struct(F.col("_lo").alias("lo"), (F.col("_hi") + 1).alias("hi"), none.alias("out"))
+    block = lambda take, b, at: F.when(take, F.array(F.struct(b.alias("level"), at.alias("block")))).otherwise(none)
+
+    def step(s: F.Column, b: F.Column) -> F.Column:
+        left = s["lo"] < s["hi"]
+        got = F.concat(s["out"], block(left & (s["lo"] % 2 == 1), b, s["lo"]), block(left & (s["hi"] % 2 == 1), b, s["hi"] - 1))
+        return F.struct(F.floor((s["lo"] + 1) / 2).alias("lo"), F.floor(s["hi"] / 2).alias("hi"), got.alias("out"))
+
+    cover = ranges.select("run_id", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(bits)), state, step, lambda s: s["out"])).alias("x")).select("run_id", "x.level", "x.block")
+    keys = probes.select("key").distinct().where("key is not null")
+    marks = bounds.select(F.col("bound").alias("key"), F.col("number").alias("_rank"), F.lit(0).alias("_probe")).unionByName(keys.select("key", F.lit(None).cast("long").alias("_rank"), F.lit(1).alias("_probe")))
+    marks = order.last_before(marks.withColumn("_all", F.lit(0)).withColumn("_last", F.when(F.col("_probe") == 0, F.struct("_rank", "key"))), ["_all"], ["key", "_probe"], "_last")
+    rank = F.when(F.col("_last.key") == F.col("key"), F.col("_last._rank")).otherwise(F.col("_last._rank") + 1)
+    ranked = marks.where("_probe = 1 and _last is not null").select("key", rank.alias("_rank"))
+    ranked = ranked.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda b: F.struct(b.alias("level"), F.floor(F.col("_rank") / F.pow(F.lit(2), b)).cast("long").alias("block")))).alias("x"))
+    found = ranked.select("key", "x.level", "x.block").join(cover, ["level", "block"]).select("key", "run_id")
+    return probes.join(found, "key").select(*probes.columns, "run_id")
 
 
 def block_index(rows: DataFrame, run: str = "run_id", block: int = 4096) -> DataFrame:
@@ -93,9 +121,12 @@ def block_index(rows: DataFrame, run: str = "run_id", block: int = 4096) -> Data
 
 
 def block_of(probes: DataFrame, index: DataFrame, run: str = "run_id") -> DataFrame:
-    """For each probe (run, key) the block where a search starts: the last whose first key is not greater."""
-    found = probes.join(index, (probes[run] == index[run]) & (index["first_key"] <= probes["key"]), "left")
-    return found.groupBy(probes[run], probes["key"]).agg(F.max("block").alias("block"))
+    """For each different probe (run, key) the block where a search starts: the last whose first key is not greater; null if
+    there is none. Probes and first keys are sorted together, so no probe meets more than one block."""
+    firsts = index.select(run, F.col("first_key").alias("key"), "block", F.lit(0).alias("_probe"))
+    wanted = probes.select(run, "key").distinct().select(run, "key", F.lit(None).cast(index.schema["block"].dataType).alias("block"), F.lit(1).alias("_probe"))
+    found = order.last_before(firsts.unionByName(wanted), [run], ["key", "_probe", "block"], "block")
+    return found.where("_probe = 1").select(run, "key", "block")
 
 
 def bloom_build(keys: DataFrame, run: str = "run_id", key: str = "key") -> DataFrame:
@@ -113,8 +144,10 @@ def bloom_test(probes: DataFrame, bloom: DataFrame, run: str = "run_id", key: st
 
 
 def write_runs(rows: DataFrame, path: str, key_bloom: bool = True) -> None:
-    """Each run as files of its own, sorted by internal key, with a Parquet Bloom filter on the key."""
-    writer = rows.repartition("run_id").sortWithinPartitions("run_id", *codec.internal_order()).write.mode("append").partitionBy("run_id")
+    """Each run as files of its own, sorted by internal key, with a Parquet Bloom filter on the key. A large run is written
+    by several tasks, each a range of its keys."""
+    by = ["run_id", *codec.internal_order()]
+    writer = rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("append").partitionBy("run_id")
     if key_bloom:
         writer = writer.option("parquet.bloom.filter.enabled#key", "true")
     writer.parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,31 +42,64 @@ def live(entries: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Versions of the list of live runs in a folder, ``v<number>.json`` each; a commit is one rename, which fails if another
-    writer was first. All file access goes through Hadoop's file systems, so the folder may be anywhere Spark writes."""
+    """Versions of the list of live runs in a folder, ``v<number>.json`` each. A version's file appears whole or not at all,
+    and of two writers of the same version one fails.
+
+    A commit writes a file of its own and gives it the version's name by a step that fails if the name is taken: a hard
+    link on a local file system, a rename without overwriting elsewhere, which HDFS does in one step. A store whose
+    renames aren't atomic needs a lock of its own around commits. All file access goes through Hadoop's file systems.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(self._conf)
         self._fs.mkdirs(self._path(self.folder))
 
+    def _listed(self) -> list[tuple[int, int]]:
+        """(version, time of its commit in milliseconds), ascending."""
+        found = []
+        for s in self._fs.listStatus(self._path(self.folder)):
+            n = s.getPath().getName()
+            if n.startswith("v") and n.endswith(".json"):
+                found.append((int(n[1:-5]), s.getModificationTime()))
+        return sorted(found)
+
     def version(self) -> int:
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)))
-        return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        return max((v for v, _ in self._listed()), default=0)
+
+    def _file(self, version: int):
+        return self._path(f"{self.folder}/v{version:012d}.json")
 
     def runs(self, version: int | None = None) -> list[dict]:
         v = self.version() if version is None else version
         if not v:
             return []
-        stream = self._fs.open(self._path(f"{self.folder}/v{v:012d}.json"))
+        stream = self._fs.open(self._file(v))
         try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
         return [json.loads(line) for line in text.splitlines() if line]
 
+    def _claim(self, temp, target) -> bool:
+        """Gives ``temp`` the name ``target``; false if that is taken."""
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                files, of = self._jvm.java.nio.file.Files, lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+                files.createLink(of(target), of(temp))
+                self._fs.delete(temp, False)
+            else:
+                plain = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self._conf).rename(temp, target, plain)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def commit(self, add: list[dict], remove: list[str], base: int | None = None, front: bool = False) -> int:
         """The version after ``base``, with runs added at the end, or at the front as a merge of the oldest is."""
         base = self.version() if base is None else base
@@ -77,20 +111,37 @@ class Catalog:
             out.write(bytearray("".join(json.dumps(r) + "\n" for r in runs), "utf-8"))
         finally:
             out.close()
-        if self._fs.exists(target := self._path(f"{self.folder}/v{base + 1:012d}.json")) or not self._fs.rename(temp, target):
+        if not self._claim(temp, self._file(base + 1)):
             self._fs.delete(temp, False)
             raise RuntimeError(f"version {base + 1} was committed by another writer")
         return base + 1
 
-    def vacuum(self, root: str, older_than_ms: int) -> list[str]:
-        """Deletes the run folders under ``root`` that no version names and that are older than so many milliseconds."""
-        used = {r["path"] for r in self.runs()}
-        now = int(self.spark.sparkContext._jvm.java.lang.System.currentTimeMillis())
+    def vacuum(self, root: str, older_than_ms: int, abandoned_ms: int = 7 * 86_400_000) -> list[str]:
+        """Deletes the run folders under ``root`` that left the catalog so many milliseconds ago or more, and the versions
+        before that time.
+
+        A version is in use until another has followed it for so long, and a run while a version in use names it; so a
+        reader who holds a version has that long to read it, however old its runs are. A folder that no version ever named
+        is a write that isn't committed yet; it goes only when nothing has been written to it for ``abandoned_ms``.
+        """
+        now = int(self._jvm.java.lang.System.currentTimeMillis())
+        listed = self._listed()
+        used, known, past = set(), set(), []
+        for i, (v, _) in enumerate(listed):
+            paths = {r["path"] for r in self.runs(v)}
+            known |= paths
+            if i + 1 == len(listed) or now - listed[i + 1][1] < older_than_ms:
+                used |= paths
+            else:
+                past.append(v)
         gone = []
         for s in self._fs.listStatus(self._path(root)):
             p = s.getPath()
             name = f"{root.rstrip('/')}/{p.getName()}"
-            if s.isDirectory() and name not in used and now - s.getModificationTime() >= older_than_ms:
+            left = name in known or now - s.getModificationTime() >= abandoned_ms
+            if s.isDirectory() and name not in used and left:
                 self._fs.delete(p, True)
                 gone.append(name)
+        for v in past:  # after the runs that only they name
+            self._fs.delete(self._file(v), False)
         return gone

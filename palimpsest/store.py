@@ -12,6 +12,10 @@ from palimpsest.operators import changelog, compaction, placement, snapshot
 from palimpsest.sources.manifest import Catalog
 
 
+#: Types of keys whose text in the catalog gives the key again, in the order that Spark has for them.
+_COMPARED = {"string": str, "byte": int, "short": int, "int": int, "long": int, "bigint": int}
+
+
 class Store:
     """``put``, ``delete`` and ``dispatch`` commit a run each; all of it survives a reopening, and nothing is seen by halves.
 
@@ -28,8 +32,9 @@ class Store:
     def log(self, keys: list | None = None) -> DataFrame:
         """The live runs, with ``run_id``; with keys, only runs whose key range may hold one of them."""
         listed = self.catalog.runs()
-        if keys is not None:
-            listed = [r for r in listed if any(r["min_key"] <= k <= r["max_key"] for k in map(str, keys))] if self.schema.startswith("key string") else listed
+        if keys is not None and (of := _COMPARED.get(self.schema.split()[1].rstrip(","))):
+            zones = [(r, of(r["min_key"]), of(r["max_key"])) for r in listed]
+            listed = [r for r, lo, hi in zones if any(lo <= k <= hi for k in map(of, keys) if k is not None)]
         empty = self.spark.createDataFrame([], self.schema + ", run_id string")
         out = empty
         if listed:
@@ -57,7 +62,7 @@ class Store:
     def put(self, batch: DataFrame, order: list[str] | None = None) -> int:
         """Adds the batch's (key, value) as versions, numbered in the given order of its columns."""
         base = self.catalog.version()
-        rows = changelog.number_rows(batch, order or ["key"], self.next_seq())
+        rows = changelog.number_rows(batch.select(*{c: None for c in ("key", "value", *(order or []))}), order or ["key"], self.next_seq())
         return self._commit(rows.select("key", "seq", F.lit(codec.PUT).alias("op"), "value"), base=base)
 
     def delete(self, keys: DataFrame, order: list[str] | None = None) -> int:

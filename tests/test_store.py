@@ -271,3 +271,46 @@ def test_stream_commits_each_batch_once(spark, store, tmp_path):
     run()
     assert values(store.snapshot()) == {"b": "y", "c": "z"} and len(store.catalog.runs()) == 2
     assert values(ingest.live(store.log().drop("run_id"))) == {"b": "y", "c": "z"}
+
+
+def test_vacuum_counts_from_the_removal(spark, store):
+    import time
+
+    for i in range(4):
+        store.put(batch(spark, ("k", f"v{i}")))
+    time.sleep(3)  # the runs are older than the delay before they leave the catalog
+    held, at = store.log(), store.next_seq()
+    store.compact(horizon=at)
+    assert store.vacuum(2500) == []
+    assert held.count() == 4
+    time.sleep(3)
+    assert len(store.vacuum(2500)) == 4 and values(store.get(["k"])) == {"k": "v3"}
+    assert store.vacuum(0) == []
+
+
+def test_vacuum_leaves_a_write_that_is_not_committed(spark, store):
+    store.put(batch(spark, ("k", "v")))
+    batch(spark, ("a", "b")).write.parquet(f"{store.folder}/runs/{'0' * 32}")
+    assert store.vacuum(0) == []
+    assert store.catalog.vacuum(f"{store.folder}/runs", 0, abandoned_ms=0) == [f"{store.folder}/runs/{'0' * 32}"]
+
+
+def test_of_two_writers_at_once_one_fails(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(i):
+        try:
+            return store.catalog.commit([{"path": f"x{i}", "max_seq": i}], [], 0)
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        done = [v for v in pool.map(write, range(8)) if v]
+    assert done == [1] and len(store.catalog.runs(1)) == 1
+
+
+def test_reads_of_other_keys_skip_runs(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "n"), value="string", key="long")
+    for lo in (0, 100, 1000):
+        s.put(spark.range(lo, lo + 9).select(F.col("id").alias("key"), F.lit("v").alias("value")))
+    assert len(s.log([104]).select("run_id").distinct().collect()) == 1 and s.get([104]).count() == 1
