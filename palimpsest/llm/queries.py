@@ -25,7 +25,7 @@ def op3_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "n_draws", "source")
 
 
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS = "regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+')"
 
 OP4 = f"""
-with d as (select doc_id, source, len({WORDS.format(text="text")}) as size, md5(coalesce(cast(doc_id as varchar), '')) as key from documents),
+with d as (select doc_id, source, len({WORDS.format(text="text")}) as size, md5(coalesce(cast(doc_id as varchar), text, '')) as key from documents),
 s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by encode(source) nulls last) - 1 as n from d group by source),
 w as (select *, case n % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s),
 o as (select *, sum(source_size) over () as total, row_number() over (order by 3 * source_size / weight, n) as k from w),
@@ -84,7 +84,8 @@ t as (select source, source_size, case when k < first_open then cast(3 * source_
 g as (select d.doc_id, d.size, d.source, t.source_size, t.target, cast(floor(t.target + 0.5) as bigint) as goal,
     cast(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows unbounded preceding) as bigint) - d.size as before from d join t on t.source is not distinct from d.source)
 select doc_id, cast(size as bigint) as size, source_size, target, source,
-    case when source_size = 0 then 0 else (goal // source_size) * size + greatest(0, least(size, goal % source_size - before)) end as taken from g
+    case when source_size = 0 then 0 else (goal // source_size) * size + greatest(0, least(size, goal % source_size - before)) end as taken,
+    cast(case when size = 0 then 0 else goal // source_size + (least(size, goal % source_size - before) > 0)::int end as bigint) as n_draws from g
 """
 
 OP8 = f"""

@@ -70,3 +70,49 @@ def test_odd_rows(odd, empty):
     assert mixing.mix(odd).columns == odd.columns
     mixing.mix(odd).count()
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_quotas_beyond_a_billion():
+    quotas = [5_000_000_000, 3, 2_000_000_001, 0]
+    got = mixing.split_quotas(quotas, 7, seed=1)
+    assert (got >= 0).all() and got.sum(0).tolist() == quotas and got.sum(1).max() - got.sum(1).min() <= 3
+    assert abs(got[:, 0] / 5e9 - 1 / 7).max() < 1e-4
+
+
+def test_shards_draw_their_quotas_and_nothing_twice(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    rows, named = mixing.draws(docs, shards=5, seed=3)
+    names = {n["source"]: n for n in named}
+    drawn, by = {}, {}
+    for r in rows.collect():
+        rounds = [d["round"] for d in r.draws]
+        assert len(set(rounds)) == len(rounds)
+        for d in r.draws:
+            assert drawn.setdefault((r.source, r.block, d["round"]), d["shard"]) == d["shard"]
+    for (source, _, _), shard in drawn.items():
+        by.setdefault(source, [0] * 5)[shard] += 1
+    for source, own in by.items():
+        # A block whose share of the last round is empty has a quota but no row to show it.
+        assert all(0 <= q - n <= 1 for q, n in zip(names[source]["shards"], own)) and sum(names[source]["shards"]) == names[source]["quota"]
+        assert names[source]["blocks"] > 1
+    assert len({s for s in drawn.values()}) == 5
+
+
+def test_other_quotas_give_other_shards(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    shard = lambda seed: {(r.doc_id, d["round"]): d["shard"] for r in mixing.plan(docs, shards=5, seed=seed).collect() for d in r.draws}
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: np.array([[q // 2 if s == 0 else 0 for q in quotas] for s in range(shards)]))
+    half = mixing.plan(docs, shards=5).collect()
+    assert {d["shard"] for r in half for d in r.draws} == {0}
+    monkeypatch.undo()
+    assert sum(r.taken for r in half) < 0.7 * sum(r.taken for r in mixing.plan(docs).collect())
+    assert shard(1) != shard(2)
+
+
+def test_shards_follow_one_another_and_are_shuffled(docs):
+    rows = mixing.sharded(docs, shards=4).select("row.doc_id", "shard", "place", F.spark_partition_id().alias("p")).collect()
+    at = [(r.shard, r.place) for r in rows]
+    assert at == sorted(at) and len({r.shard for r in rows}) > 1
+    for p in {r.p for r in rows}:
+        own = [r.doc_id for r in rows if r.p == p]
+        assert len(own) < 5 or own != sorted(own)
