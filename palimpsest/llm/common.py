@@ -9,6 +9,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest.scratch import delete, leave, shared_dir
 
@@ -106,7 +107,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """mapInArrow, one batch at a time."""
-    names = [f.split()[0] for f in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
