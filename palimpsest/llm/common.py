@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from palimpsest.scratch import delete, leave, shared_dir
+from palimpsest.scratch import materialise, release  # noqa: F401
 
 #: ASCII white space, as the contracts take it: space and \x09 to \x0D; bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,23 +48,6 @@ class Memory:
         return got
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is read with pushdown."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    leave(spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def release(df: DataFrame | None) -> None:
-    """Deletes a table of ``materialise`` that nothing will read again."""
-    if df is not None and (path := getattr(df, "_scratch", None)):
-        delete(df.sparkSession, path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,14 +37,15 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id_col, fp: long with the bits of the fingerprint) for every row; a null text counts as empty."""
+    """(id_col, fp, text_hash) for every row: the fingerprint's bits as a long, and a hash of the text, which with the id
+    names a row. A null text counts as empty, but for its hash; repeated rows stay."""
 
     def batch(b: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        return {id_col: b.column(0), "fp": pa.array(fps)}
+        return {id_col: b.column(0), "fp": pa.array(fps), "text_hash": b.column(2)}
 
     kind = dict(docs.dtypes)[id_col]
-    return arrow_map(docs.select(id_col, text_col), batch, f"{id_col} {kind},fp long")
+    return arrow_map(docs.select(id_col, text_col, F.xxhash64(text_col).alias("_h")), batch, f"`{id_col}` {kind},fp long,text_hash long")
 
 
 def cover(distance: int, n: int) -> list[int]:
@@ -137,6 +138,17 @@ def _by_bucket(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, text_hash) of every row, and a row for each fingerprint: root, least id, first row (that with the least id,
+    null ids last, then by the text's hash), how many rows, and whether it is linked to another."""
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")).alias("first")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("least"), first, F.count("*").alias("n")), "nodes")
+    roots = components(near_links(nodes.select("fp"), distance))
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "first", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
+    return rows, materialise(rooted, "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """(id_col, fp, component_id): every row with its fingerprint and the least id that it reaches by links.
 
@@ -145,11 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is not null of their component, or null if it has none; repeated rows are returned as often as they come. An empty
     table gives an empty result. Other columns are not read.
     """
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
     kind = dict(docs.dtypes)[id_col]
-    nodes = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "nodes")
-    roots = components(near_links(nodes.select("fp"), distance))
-    roots = materialise(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")), "roots")
+    rows, roots = _grouped(docs, id_col, text_col, shingle, distance)
     # Only fingerprints that are shared or linked need a look-up.
     shared = roots.where("linked or n > 1")
     named = shared.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -159,25 +168,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: the one with the least id, or any one of those with that id.
+    """``docs`` with one row of each component: the one with the least id; of rows that share that id, the one with the
+    least hash of the text; of repeated rows with that text too, any one.
 
-    All columns stay. Rows with a null id stay only if their component has no id at all, one of them.
+    A row is chosen as its component's, by id and text together, so rows that share an id but not a component all stay.
+    Rows with a null id stay only if their component has no id at all, one of them. Null texts are one component with
+    empty ones. All columns stay as they are; an empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, distance)
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("of")).agg(F.count("*").alias("n"))
-    key, rank = fresh(docs, "kept_id", "rank")
-    kept = kept.where("component_id is not null").select(F.col("component_id").alias(key))
-    out = docs.join(kept, docs[id_col] == F.col(key), "left_semi")
-    n, ids = docs.where(F.col(id_col).isNotNull()).agg(F.count("*"), F.countDistinct(id_col)).first()
-    if n > ids:  # rows share ids
-        out = out.dropDuplicates([id_col])
-    orphans = docs.where(F.col(id_col).isNull())
-    if orphans.isEmpty():
-        return out
-    lone = found.where("component_id is null").select("fp").distinct()
-    texts = fingerprints(orphans.withColumn(key, F.monotonically_increasing_id()), key, text_col, shingle)
-    roots = components(near_links(lone, distance)) if not lone.isEmpty() else None
-    if roots is None:
-        return out
-    first = texts.join(lone, "fp").join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(key).alias(key))
-    return out.unionByName(orphans.withColumn(key, F.monotonically_increasing_id()).join(first, key, "left_semi").drop(key))
+    rows, roots = _grouped(docs, id_col, text_col, shingle, distance)
+    chosen = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.text_hash")
+    of, text, key = fresh(docs, "kept_id", "kept_text", "text_key")
+    chosen = materialise(chosen.select(F.col("id").alias(of), F.col("text_hash").alias(text)), "chosen")
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+
+    def held(df: DataFrame, names: DataFrame, how: str) -> DataFrame:
+        return df.join(names, df[id_col].eqNullSafe(names[of]) & (df[key] == names[text]), how)
+
+    repeated = rows.groupBy(F.col(id_col).alias(of), F.col("text_hash").alias(text)).count().where("count > 1").drop("count")
+    repeated = materialise(repeated, "repeated")
+    out = held(keyed, chosen, "left_semi")
+    if not repeated.isEmpty():
+        out = held(out, repeated, "left_anti").unionByName(held(out, repeated, "left_semi").dropDuplicates([id_col, key]))
+    return out.drop(key)
