@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialise
 
-#: A sentence longer than this is cut where its words' hashes say, so that an edit moves only the cuts near it.
-LONG = 400
+#: The first code points of a text, cut into leaves of up to the second number of them; beyond, of up to the third.
+START, FINE, COARSE = 256, 32, 96
 #: Documents in a part of the order, about, and parts at most (a part is read as a stream, so it may grow).
 PART_ROWS, MOST_PARTS = 4096, 20_000
 
@@ -27,19 +27,28 @@ def _h(data: bytes) -> bytes:
     return blake2b(data, digest_size=16).digest()
 
 
-def _sentences(paragraph: str) -> list[str]:
-    out = []
-    for s in paragraph.split(". "):
-        if len(s) <= LONG:
-            out.append(s)
-            continue
-        piece: list[str] = []
-        for w in s.split(" "):
-            piece.append(w)
-            if len(piece) >= 8 and _h(w.encode("utf-8", "surrogatepass"))[0] % 8 == 0:
-                out.append(" ".join(piece))
-                piece = []
-        out.append(" ".join(piece))
+# A leaf ends after a space as soon as it is long enough, beyond the start after a word that ends so, and never is longer
+# than this; so cuts before an edit stay, those after it fall into step again, and words without spaces are cut too.
+_FINE = re.compile(rf".{{10,{FINE}}}?(?:(?<= )|\Z)|.{{1,{FINE}}}", re.S)
+_COARSE = re.compile(rf".{{24,{COARSE}}}?(?:(?<=[nrs,] )|\Z)|.{{1,{COARSE}}}", re.S)
+_SENTENCE = re.compile(r"(?<=\. )")
+
+
+def _leaves(line: str, fine: int = 0) -> list[str]:
+    """The line in pieces: short ones up to ``fine``, then sentences, the long ones in pieces. Joined they are the line, so
+    equal leaves mean equal lines; and what follows a piece has no part in where it ends, but for the piece itself."""
+    out, at = [], 0
+    if fine > 0:
+        for m in _FINE.finditer(line):
+            out.append(m[0])
+            if (at := m.end()) >= fine:
+                break
+    if at < len(line) or not out:
+        for s in _SENTENCE.split(line[at:]):
+            if len(s) > COARSE:
+                out += _COARSE.findall(s)
+            elif s or not out:
+                out.append(s)
     return out
 
 
@@ -59,8 +68,10 @@ def tree(text: str | None) -> Tree:
     """Paragraphs are lines. A section ends after a blank line, or after a paragraph whose digest says so, one in eight,
     so that an edit leaves the other sections as they are. A null text counts as empty."""
     sections, paragraphs = [], []
+    left = START
     for line in (text or "").split("\n"):
-        leaves = [_h(s.encode("utf-8", "surrogatepass")) for s in _sentences(line)]
+        leaves = [_h(s.encode("utf-8", "surrogatepass")) for s in _leaves(line, left)]
+        left -= len(line) + 1
         digest = _h(b"".join(leaves))
         paragraphs.append((digest, leaves))
         if digest[0] < 32 or not line.strip():
@@ -107,43 +118,54 @@ def differences(a: Tree, b: Tree) -> list[tuple[int, int]]:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) -> DataFrame:
-    """Calls ``fn(id, text, next_text)`` on every row, in descending order of the id (null last, then by the text's hash);
+    """Calls ``fn(id, text, next_text)`` on every row, in descending order of the id (null last), then of the text's hash;
     the next of the last row is the first.
 
-    The order is cut at quantiles of the id into parts. Each part also gets a copy of the rows that begin the next one, so
-    texts move once and a task holds two of them at a time. Rows that share an id stay together.
+    The order is cut at quantiles of the id into parts; an id that fills several is cut by the text's hash too. Each part
+    also gets a copy of the rows that begin the next one, so texts move once and a task holds two of them at a time.
     """
     low = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("i"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("i"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = rows.count()
     parts = max(1, min(MOST_PARTS, math.ceil(n / PART_ROWS)))
     cuts = rows.agg(F.percentile_approx("i", [k / parts for k in range(1, parts)], max(10_000, 20 * parts)).alias("q")).first()["q"] if parts > 1 else []
-    cuts = np.unique(np.array(cuts or [], dtype=np.int64))  # ascending; the highest ids are part 0
+    # Bounds (id, hash), ascending; the highest rows are part 0. An id that is r quantiles is cut r times.
+    at = [(v, low + k * (1 << 64) // r) for v, r in sorted(Counter(cuts or []).items()) for k in range(r)]
+    bound_i, bound_h = (np.array(x, dtype=np.int64) for x in (zip(*at) if at else ((), ())))
+
+    def place(i: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """How many bounds are at or below each (id, hash)."""
+        below, upto = np.searchsorted(bound_i, i, side="left"), np.searchsorted(bound_i, i, side="right")
+        for v in np.unique(i[upto > below]):
+            own = np.flatnonzero(i == v)
+            a, b = below[own[0]], upto[own[0]]
+            below[own] += np.searchsorted(bound_h[a:b], h[own], side="right")
+        return below
 
     @F.pandas_udf("int")
-    def part(i: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, i.to_numpy(), side="right")).astype("int32")
+    def part(i: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(len(bound_i) - place(i.to_numpy(), h.to_numpy())).astype("int32")
 
-    heads = {r.p: r.head for r in rows.select("i").groupBy(part("i").alias("p")).agg(F.max("i").alias("head")).collect()}
+    heads = {r.p: tuple(r.head) for r in rows.select("i", "h").groupBy(part("i", "h").alias("p")).agg(F.max(F.struct("i", "h")).alias("head")).collect()}
     there = sorted(heads)
     before = {heads[p]: there[k - 1] for k, p in enumerate(there)}  # the part that a head's copy goes to
-    head_ids = np.array(sorted(before), dtype=np.int64)
-    goes_to = np.array([before[h] for h in sorted(before)], dtype=np.int32)
+    head_ids = np.array(sorted({i for i, _ in before}), dtype=np.int64)
 
     @F.pandas_udf("int")
-    def copy_to(i: pd.Series) -> pd.Series:
-        v = i.to_numpy()
-        if not len(head_ids):
-            return pd.Series(np.full(len(v), -1, dtype=np.int32))
-        at = np.minimum(np.searchsorted(head_ids, v), len(head_ids) - 1)
-        return pd.Series(np.where(head_ids[at] == v, goes_to[at], -1).astype("int32"))
+    def copy_to(i: pd.Series, h: pd.Series) -> pd.Series:
+        v, out = i.to_numpy(), np.full(len(i), -1, dtype=np.int32)
+        if len(head_ids):
+            near = np.minimum(np.searchsorted(head_ids, v), len(head_ids) - 1)
+            for k in np.flatnonzero(head_ids[near] == v):
+                out[k] = before.get((int(v[k]), int(h.iloc[k])), -1)
+        return pd.Series(out)
 
     own = F.struct(F.col("own").alias("part"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.col("copy").alias("part"), F.lit(True).alias("ghost"))
-    rows = rows.select("*", part("i").alias("own"), copy_to("i").alias("copy"))
-    rows = rows.select("i", "id", "text", F.explode(F.when(F.col("copy") >= 0, F.array(own, ghost)).otherwise(F.array(own))).alias("to"))
-    rows = rows.select("to.part", "to.ghost", "i", "id", "text").repartitionById(len(cuts) + 1, F.col("part"))
-    rows = rows.sortWithinPartitions("part", "ghost", F.col("i").desc(), F.xxhash64("text"))
+    rows = rows.select("*", part("i", "h").alias("own"), copy_to("i", "h").alias("copy"))
+    rows = rows.select("i", "h", "id", "text", F.explode(F.when(F.col("copy") >= 0, F.array(own, ghost)).otherwise(F.array(own))).alias("to"))
+    rows = rows.select("to.part", "to.ghost", "i", "h", "id", "text").repartitionById(len(at) + 1, F.col("part"))
+    rows = rows.sortWithinPartitions("part", "ghost", F.col("i").desc(), F.col("h").desc())
     names = [f.split()[0] for f in schema.split(",")]
     kind = dict(docs.dtypes)[id_col]
 
@@ -188,10 +210,14 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row is its own next. An empty table gives an empty result. Other columns are not read.
     """
 
+    last: list = [None, ""]  # the row before has worked out this one's fingerprint
+
     def one(i, text, following) -> tuple:
         text, following = text or "", following or ""
         changed = edited(text, following)
-        a, b = fingerprint(text), fingerprint(changed)
-        return len(text), sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), a, b, likeness(a, b), likeness(a, fingerprint(following))
+        a = last[1] if last[0] is text else fingerprint(text)
+        b, c = fingerprint(changed), fingerprint(following)
+        last[:] = following, c
+        return len(text), sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), a, b, likeness(a, b), likeness(a, c)
 
     return with_next(docs, id_col, text_col, one, "doc_id ?,n_chars long,edited_sha256 string,fingerprint string,edited_fingerprint string,near_edited double,near_next double")
