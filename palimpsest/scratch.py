@@ -47,11 +47,11 @@ def delete(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is read with pushdown."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     leave(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
