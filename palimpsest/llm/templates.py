@@ -179,31 +179,32 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-PARSED = "page_id ?,url ??,host string,page long,tokens array<long>,up array<int>,at array<int>,text array<string>,kind array<int>,main array<boolean>,linked array<double>,counts array<struct<token:long,n:int>>"
+PARSED = "page_id ?,url ??,host string,page long,tokens array<long>,up array<int>,at array<int>,text array<string>,size array<int>,kind array<int>,main array<boolean>,linked array<double>"
 
 
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """A row for each row of ``pages``: its tokens' keys, where they stand, its text blocks, and how often it has each token.
+    """A row for each row of ``pages``: its tokens' keys, where they stand, and its text blocks. Of those that something
+    speaks against, which no text is made of, the length stands for the text.
 
     ``page`` is a hash of the tokens, so copies that differ in scripts, comments or attributes only are one page. A null
     or empty page has no token; a url that is null or without a host gives a null host.
     """
     kind = dict(pages.dtypes)
     schema = PARSED.replace("??", kind[url_col]).replace("?", kind[id_col])
-    blocks = pa.struct([("token", pa.int64()), ("n", pa.int32())])
 
     def batch(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {n: [] for n in ("page", "tokens", "up", "at", "text", "kind", "main", "linked", "counts")}
+        out: dict[str, list] = {n: [] for n in ("page", "tokens", "up", "at", "text", "size", "kind", "main", "linked")}
         for html in b.column(2).to_pylist():
             page = Page(html)
             keys = page.keys()
             out["page"].append(_key(" ".join(map(str, keys))))
             out["tokens"].append(keys)
             out["up"].append(page.up)
-            for i, n in enumerate(("at", "text", "kind", "main", "linked")):
+            for i, n in ((0, "at"), (2, "kind"), (3, "main"), (4, "linked")):
                 out[n].append([x[i] for x in page.blocks])
-            out["counts"].append([{"token": k, "n": n} for k, n in Counter(keys).items()])
-        types = {"page": pa.int64(), "tokens": pa.list_(pa.int64()), "up": pa.list_(pa.int32()), "at": pa.list_(pa.int32()), "text": pa.list_(pa.string()), "kind": pa.list_(pa.int32()), "main": pa.list_(pa.bool_()), "linked": pa.list_(pa.float64()), "counts": pa.list_(blocks)}
+            out["text"].append([x[1] if x[2] == FREE else "" for x in page.blocks])
+            out["size"].append([len(x[1]) for x in page.blocks])
+        types = {"page": pa.int64(), "tokens": pa.list_(pa.int64()), "up": pa.list_(pa.int32()), "at": pa.list_(pa.int32()), "text": pa.list_(pa.string()), "size": pa.list_(pa.int32()), "kind": pa.list_(pa.int32()), "main": pa.list_(pa.bool_()), "linked": pa.list_(pa.float64())}
         return {"page_id": b.column(0), "url": b.column(1), "host": b.column(3)} | {n: pa.array(v, types[n]) for n, v in out.items()}
 
     host = host_of(F.col(url_col))
@@ -238,7 +239,19 @@ def deduce(parsed: DataFrame, of: DataFrame, support: float = SUPPORT, pages: in
     what is left meets the number of pages in ``PARTS`` parts. ``times``: how often it occurs on each page that has it, or 0
     if that differs. A valid class's tokens are at most 1 / support times as many as an average page has, so a row stays as short as a page.
     """
-    seen = parsed.select("host", "page", F.explode("counts").alias("c")).select("host", "page", "c.token", "c.n").distinct()
+
+    def count(b: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"at": [], "token": [], "n": []}
+        for i, tokens in enumerate(b.column(2).to_pylist()):
+            for t, n in Counter(tokens).items():
+                out["at"].append(i)
+                out["token"].append(t)
+                out["n"].append(n)
+        at = pa.array(out["at"], pa.int64())
+        return {"host": b.column(0).take(at), "page": b.column(1).take(at), "token": pa.array(out["token"], pa.int64()), "n": pa.array(out["n"], pa.int32())}
+
+    different = parsed.where("size(tokens) > 0").groupBy("host", "page").agg(F.any_value("tokens").alias("tokens"))
+    seen = arrow_map(different, count, "host string,page long,token long,n int")
     vectors = seen.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("on"), F.min("n").alias("least"), F.max("n").alias("most"))
     known = of.withColumnRenamed("host", "h")
     vectors = vectors.join(known, vectors.host.eqNullSafe(known.h)).groupBy("of", "token").agg(F.bit_xor("class").alias("class"), F.sum("on").alias("on"), F.min("least").alias("least"), F.max("most").alias("most"))
@@ -295,9 +308,8 @@ def slots(tokens: list[int], up: list[int], at: list[int], template: dict[int, t
     return out
 
 
-def _shares(text: list[str], kind: list[int], main: list[bool], linked: list[float], own: list[bool]) -> Iterator[tuple]:
-    for t, k, m, share, held in zip(text, kind, main, linked, own):
-        n = len(t)
+def _shares(size: list[int], kind: list[int], main: list[bool], linked: list[float], own: list[bool]) -> Iterator[tuple]:
+    for n, k, m, share, held in zip(size, kind, main, linked, own):
         yield n, n if k else 0, n if m and not k else 0, n if held and not m else 0, round(n * share)
 
 
@@ -380,7 +392,8 @@ def verdicts(parsed: DataFrame, of: DataFrame, made: DataFrame) -> DataFrame:
     A slot's sizes are summed in the tasks and by a shuffle; a template's slots, fewer than the square of a page's tags,
     meet in one group at the end.
     """
-    rows = _with(parsed.select("host", *_COLUMNS), of, made.withColumnRenamed("tokens", "template"), ["template"]).where("template is not null").select("of", "template", *_COLUMNS)
+    columns = ("tokens", "up", "at", "size", "kind", "main", "linked")
+    rows = _with(parsed.select("host", *columns), of, made.withColumnRenamed("tokens", "template"), ["template"]).where("template is not null").select("of", "template", *columns)
 
     def batch(b: pa.RecordBatch) -> dict:
         memo: dict[str, dict] = {}
@@ -392,7 +405,7 @@ def verdicts(parsed: DataFrame, of: DataFrame, made: DataFrame) -> DataFrame:
             tokens, at = row["tokens"], row["at"]
             own = slots(tokens, row["up"], at, template, {tokens[i] for i in at})
             held = [tokens[i] in template for i in at]
-            for (slot, chain), add in zip(own, _shares(row["text"], row["kind"], row["main"], row["linked"], held)):
+            for (slot, chain), add in zip(own, _shares(row["size"], row["kind"], row["main"], row["linked"], held)):
                 sizes = total.setdefault((row["of"], slot, chain), Sizes(chain))
                 sizes.n = [x + y for x, y in zip(sizes.n, add)]
         at = list(total)
@@ -423,7 +436,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     article, a page's own tags decide. Broken markup is read as far as it goes. Repeated rows stay, and copies of a page
     count once; an empty table gives an empty result; other columns are not read.
     """
-    parsed = materialise(parse(pages, id_col, url_col, html_col), "parsed")
+    parsed = materialise(parse(pages, id_col, url_col, html_col), "parsed", "zstd")
     of = materialise(groups(page_counts(parsed)), "hosts")
     made = materialise(deduce(parsed, of), "templates")
     kept = materialise(verdicts(parsed, of, made), "slots")
