@@ -15,7 +15,7 @@ from palimpsest.scratch import materialise, release  # noqa: F401
 #: ASCII white space, as the contracts take it: space and \x09 to \x0D; bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that a worker remembers in each of two generations; longer words aren't remembered.
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 
 
 class Memory:
@@ -77,14 +77,16 @@ def chance(doc_id: Column, salt: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, held: int, limit: int) -> DataFrame:
     """(doc_id, text, y) of about ``limit`` labelled rows outside the held-out fold, chosen by a hash of the id.
 
-    ``limit`` bounds what a classifier is fitted on, in expectation; a doc_id with several labels counts once, with the largest.
+    ``limit`` bounds what a classifier is fitted on, in expectation; a doc_id with several labels counts once, with the
+    largest, and one with several rows once, with the text of the least hash. Null ids, labels and texts take no part.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~fold(F.col("doc_id"), n, held))
     y = y.groupBy(F.col("doc_id").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     total = y.count()
     y = y.where(chance(F.col("doc_id"), 17) < F.lit(limit / max(total, 1)))
     small = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return small.join(F.broadcast(y), "doc_id")  # at most about ``limit`` pairs of numbers
+    found = small.join(F.broadcast(y), "doc_id")  # at most about ``limit`` pairs of numbers
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:

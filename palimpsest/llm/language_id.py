@@ -106,7 +106,9 @@ class Languages:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", limit: int = LIMIT) -> Languages | None:
-    """Machines from about ``limit`` of ``rows``, as many of each language, by a hash of the id; None without any row."""
+    """Machines from about ``limit`` of ``rows``, as many of each language, by a hash of the id; None without any row. Of each
+    language come 40 at least, so with more than a hundred languages the sample is about 40 for each. Rows without a text
+    or a language take no part; rows without an id are one id, all in the sample or none."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
@@ -129,7 +131,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 def identify(docs: DataFrame, model: Languages | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row; ``und`` with score 0 for a text that is null or has no letter, or without
-    a model. Repeated rows stay; other columns are not read."""
+    a model. Repeated rows stay; an empty table gives an empty result; other columns are not read."""
 
     def batch(b: pa.RecordBatch) -> dict:
         texts = b.column(1).to_pylist()
@@ -145,7 +147,9 @@ def identify(docs: DataFrame, model: Languages | None, id_col: str = "doc_id", t
 
 
 def evaluate(docs: DataFrame, n: int = 4, held: int = 2, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): fitted on rows outside the held-out fold, said of every row."""
+    """(doc_id, held_out, lang_pred, score): fitted on rows outside the held-out fold, said of every row. Null and empty texts
+    are ``und``, equal texts have equal answers; a null id is held out; repeated rows stay; an empty table gives an empty
+    result."""
     model = fit(docs.where(~fold(F.col("doc_id"), n, held)), limit=limit)
     said = identify(docs, model)
     return said.select("doc_id", fold(F.col("doc_id"), n, held).alias("held_out"), "lang_pred", "score")

@@ -99,14 +99,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Earlier: in a document with a smaller id (null ids last, then by the text's hash), or above in the same one. Rows with
     the same id and text count as one document and stay equal. Null texts stay null and empty texts empty; a document that
     is a copy is left with what no earlier one has, perhaps nothing. Lines are compared by 64-bit hashes, and runs by two. Lines without words that follow one
-    another count as one line.
+    another count as one line. Very long texts are taken whole; an empty table gives an empty result.
     """
     (mark,) = fresh(docs, "gone_lines")
     return _marked(docs, id_col, text_col, min_words, mark).withColumn(text_col, _left(text_col, mark)).select(*docs.columns)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed): what ``dedup_lines`` leaves of every row, and how many lines it took."""
+    """(doc_id, text, n_lines, n_removed): what ``dedup_lines`` leaves of every row, and how many lines it took. Null texts
+    stay null with one line and none removed, as empty ones do; repeated rows have equal results and all stay; an empty
+    table gives an empty result; no other columns are read."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = _marked(rows, "doc_id", "text", min_words, "gone")
     n_lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).cast("long")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, fold, labelled_sample
 
-#: Words in a passage, and labelled documents that the model is fitted on, about.
-PASSAGE, LIMIT = 64, 4000
+#: Words in a passage, labelled documents that the model is fitted on, about, and passages of each of those at most.
+PASSAGE, LIMIT, PASSAGES = 64, 4000, 128
 _HIDDEN, _GATE = 32, 16
 
 # Classes of bytes: lower, upper, digit, space, line end, full stop, comma, !, ?, bar, symbol, other mark, byte of a longer character.
@@ -128,11 +128,18 @@ class Attention:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 5, held: int = 0, limit: int = LIMIT) -> Attention | None:
-    """A model from about ``limit`` labelled documents outside the held-out fold, with whole texts; None without any."""
+    """A model from about ``limit`` labelled documents outside the held-out fold; None without any.
+
+    Of a longer document ``PASSAGES`` passages are taken, evenly over its whole length, so what reaches the driver is
+    bounded in bytes too. Scoring has no such bound. Null and empty texts, and null ids and labels, take no part.
+    """
     sample = labelled_sample(docs, labels, label, n, held, limit)
 
+    def some(x: np.ndarray) -> np.ndarray:
+        return x if len(x) <= PASSAGES else x[np.linspace(0, len(x) - 1, PASSAGES).astype(int)]
+
     def batch(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column(0), "y": b.column(2), "x": pa.array([encode(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()], pa.binary())}
+        return {"doc_id": b.column(0), "y": b.column(2), "x": pa.array([some(encode(t)).astype(np.float16).tobytes() for t in b.column(1).to_pylist()], pa.binary())}
 
     got = arrow_map(sample.select(F.col("doc_id").cast("long"), "text", "y"), batch, "doc_id long,y int,x binary").toPandas()
     got = got[got["x"].map(len) > 0].sort_values(["doc_id", "x"], kind="stable")
@@ -145,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", n: int = 5,
 
 def score(docs: DataFrame, model: Attention | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row. A text that is null or has no word has score 0; without a model, as where no row is
-    labelled, any other has 0.5. Repeated rows stay; other columns are not read."""
+    labelled, any other has 0.5. Repeated rows stay; an empty table gives an empty result; other columns are not read."""
 
     def batch(b: pa.RecordBatch) -> dict:
         texts = b.column(1).to_pylist()
@@ -156,13 +163,15 @@ def score(docs: DataFrame, model: Attention | None, id_col: str = "doc_id", text
 
 
 def evaluate(docs: DataFrame, labels: DataFrame, cut: float = 0.3, n: int = 5, held: int = 0, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``."""
+    """(doc_id, held_out, score, predicted) for every row of ``docs``. Null and empty texts have score 0, equal texts equal
+    scores; a null id is held out; repeated rows stay; an empty table gives an empty result; no other columns are read."""
     said = score(docs, fit(docs, labels, n=n, held=held, limit=limit))
     return said.select("doc_id", fold(F.col("doc_id"), n, held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs`` with a score of ``cut`` or more, all columns as they are."""
+    """The rows of ``docs`` with a score of ``cut`` or more, all columns as they are. Null and empty texts go; rows without an
+    id, ties at ``cut`` and repeated rows stay; without any label all texts with a word stay."""
     model = fit(docs, labels, limit=limit)
 
     @F.pandas_udf("double")

@@ -58,3 +58,30 @@ def test_mix_and_pack(stages):
 def test_run_is_the_stages(spark, stages):
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, stages[-1].collect()))
+
+
+def test_odd_rows_through_all_stages(spark, odd, empty, tmp_path):
+    """Nulls, repeated rows, shared ids and clashing names, with a label for none of them."""
+    from test_packing import TOKENIZER
+    from test_simhash import slow_fingerprint
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = dict(corpus_pipeline.STAGES)
+    good = materialise(run["quality"](spark, odd, str(tmp_path)), "q")
+    assert sorted(r.doc_id or 0 for r in good.collect()) == [0, 0, 4, 5, 5, 5, 9, 10]
+    lined = materialise(run["line_dedup"](spark, odd, str(tmp_path)), "l")
+    assert sorted(map(str, lined.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
+    one = materialise(run["near_duplicates"](spark, lined, str(tmp_path)), "n")
+    kept = one.collect()
+    fps = {slow_fingerprint(r.text) for r in odd.collect()}
+    assert len(kept) == len({slow_fingerprint(r.text) for r in kept}) == len(fps)
+    mixed = materialise(run["mixing"](spark, lined, str(tmp_path)), "m")
+    assert {r.doc_id for r in mixed.collect()} <= {4, 5, None, 9, 10} and mixed.count() >= 5
+    packed = run["packing"](spark, lined, str(tmp_path)).collect()
+    assert sum(r.length for r in packed) == sum(len(TOKENIZER.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
+    docs = [odd, good, lined, one, mixed]
+    assert all(d.columns == odd.columns for d in docs)
+    none = empty
+    for _, fn in corpus_pipeline.STAGES:
+        none = materialise(fn(spark, none, str(tmp_path)), "none")
+        assert none.count() == 0
