@@ -389,6 +389,26 @@ def wal_max_seq(spark, sf_dir):
     return frames.valid_prefix(_frames(spark, sf_dir)).agg(F.max("pos").alias("max_seq"))
 
 
+@query(f"with f as (select c_nationkey as log, c_custkey as pos, c_name, c_mktsegment, c_custkey % 97 = 50 as bad, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i from customer), b as (select log, min(i) as first from f where bad group by log) select cast(log as varchar) as log, i as pos, c_name as key, pos as seq, 1 as op, c_mktsegment as value from f left join b using (log) where first is null or i < first")
+def log_files_recovered(spark, sf_dir):
+    """Logs written as files of frames, some of them spoilt, and what a reading of the files has."""
+    c, folder = _table(spark, sf_dir, "customer"), _folder(spark, "logs")
+    frame = codec.log_frame(codec.encode_key(F.col("c_name"), F.col("c_custkey"), F.lit(codec.PUT)), F.col("c_mktsegment"))
+    spoilt = F.concat(F.expr("X'00000000'"), F.substring(frame, F.lit(5), F.octet_length(frame)))
+    frames.write_logs(c.select(F.col("c_nationkey").alias("log"), F.col("c_custkey").alias("pos"), F.when(F.col("c_custkey") % 97 == 50, spoilt).otherwise(frame).alias("frame")), folder)
+    got = frames.read_log(spark, f"{folder}/*.log")
+    return got.select(F.regexp_extract("path", r"([^/]+)\.log$", 1).alias("log"), "pos", F.col("key").cast("string").alias("key"), "seq", "op", F.col("value").cast("string").alias("value"))
+
+
+@query("select cast(c_nationkey as varchar) as run_id, row_number() over (partition by c_nationkey order by c_name, c_custkey desc) - 1 as pos, c_name as key, c_custkey as seq, 1 as op, c_mktsegment as value from customer")
+def run_files_read(spark, sf_dir):
+    """Runs written as files with their filter, index, key range and footer, and read back."""
+    folder = _folder(spark, "runs")
+    frames.write_run_files(_customer_runs(spark, sf_dir), folder)
+    got = frames.read_run_files(spark, f"{folder}/*.run")
+    return got.select(F.regexp_extract("path", r"([^/]+)\.run$", 1).alias("run_id"), "pos", F.col("key").cast("string").alias("key"), "seq", "op", F.col("value").cast("string").alias("value"))
+
+
 # Placement
 
 NODES = "with node as (select n_nationkey as ordinal, n_name as node from nation), tok as (select ordinal, node, i, " + CRC_SQL.format(c="(node || ':' || i)") + " as token from node, (select unnest(range(8)) as i)), ring as (select token, arg_max(node, ordinal * 100 + i) as node from tok group by token)"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import codec
 from palimpsest.operators import order
-from palimpsest.scratch import materialise
+from palimpsest.scratch import materialise, ship
 
 
 def with_size(log: DataFrame) -> DataFrame:
@@ -43,6 +43,7 @@ def segment(rows: DataFrame, shard: str, by: list[str], limit: int, size: str =
 
     The fold is sequential in a shard. A task reads its shards as a stream and keeps three numbers, whatever their length.
     """
+    ship(rows.sparkSession)
     schema = f"{', '.join(f'`{c}` {t}' for c, t in rows.dtypes)}, `{out}` long"
     columns = list(rows.columns)
     at_shard, at_size = columns.index(shard), columns.index(size)

@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +71,17 @@ def _clean() -> None:
         delete(spark, path)
 
 
+def create(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """A new file with the chunks, one after another, anywhere Spark writes."""
+    fs, p = _at(spark, path)
+    out = fs.create(p, False)
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk))
+    finally:
+        out.close()
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the Python of all executors, once in an application, so that it needs no installation there.
 
@@ -86,12 +98,7 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(here)))
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}.zip"
-    fs, p = _at(spark, path)
-    out = fs.create(p, False)
-    try:
-        out.write(bytearray(raw.getvalue()))
-    finally:
-        out.close()
+    create(spark, path, [raw.getvalue()])
     leave(spark, path)
     context.addPyFile(path)
     _sent.add(context.applicationId)

@@ -5,12 +5,17 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.scratch import create, ship
+
 MAGIC = 0xABCD1234
+#: Entries that a task hands on at once.
+CHUNK = 65_536
 ENTRY = "path string, pos long, key binary, seq long, op int, value binary"
 
 
@@ -50,27 +55,27 @@ def run_records(raw: bytes) -> Iterator[tuple[bytes, bytes, int]]:
 
 
 def _read(spark: SparkSession, path: str, records) -> DataFrame:
+    ship(spark)
+    names = [f.split()[0] for f in ENTRY.split(",")]
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = []
-                for i, (k, v, _) in enumerate(records(raw)):
-                    if (key := split_key(k)) is not None:
-                        rows.append((name, i, *key, v))
-                if rows:
-                    cols = list(zip(*rows))
-                    kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["path", "pos", "key", "seq", "op", "value"])
+                rows = ((name, i, *key, v) for i, (k, v, _) in enumerate(records(raw)) if (key := split_key(k)) is not None)
+                while some := list(islice(rows, CHUNK)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)], names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ENTRY)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The valid prefix of each log file."""
+    """The valid prefix of each log file. A file is one value of one task, so it may have 2 GB; entries leave it in chunks."""
     return _read(spark, path, log_frames)
 
 
 def read_run_files(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of each run file, in its order; of the size of a file the same holds as for a log's."""
     return _read(spark, path, run_records)
 
 
@@ -117,3 +122,21 @@ def encode_run_file(entries: list[tuple[bytes, int, int, bytes]], block: int = 4
     return bytes(out + le(bloom_at) + le(index_at) + le(meta_at) + le(MAGIC))
 
 
+def write_logs(frames: DataFrame, folder: str, log: str = "log", order: str = "pos", frame: str = "frame") -> None:
+    """A file ``<log>.log`` in ``folder`` for each log, with its frames in order.
+
+    Another engine's log is one file, so it has one writer: frames are encoded and sorted by the tasks and come to the
+    driver as a stream, a part at a time.
+    """
+    rows = frames.select(F.col(log).cast("string").alias("log"), order, frame).orderBy("log", order).toLocalIterator()
+    for name, own in groupby(rows, key=lambda r: r.log):
+        create(frames.sparkSession, f"{folder}/{name}.log", (bytes(r[frame]) for r in own))
+
+
+def write_run_files(entries: DataFrame, folder: str, run: str = "run_id", block: int = 4096) -> None:
+    """A file ``<run>.run`` in ``folder`` for each run of (key, seq, op, value: binary). A run is as large as a flush, and its
+    file is made in memory as its filter and index come after its records."""
+    rows = entries.select(F.col(run).cast("string").alias("run"), F.col("key").cast("binary").alias("key"), "seq", "op", F.coalesce(F.col("value").cast("binary"), F.expr("X''")).alias("value"))
+    ordered = rows.orderBy("run", F.col("key"), F.col("seq").desc(), F.col("op").desc()).toLocalIterator()
+    for name, own in groupby(ordered, key=lambda r: r.run):
+        create(entries.sparkSession, f"{folder}/{name}.run", [encode_run_file([(bytes(r.key), r.seq, r.op, bytes(r.value)) for r in own], block)])

@@ -40,7 +40,7 @@ def test_one_pass_and_one_shuffle(spark, name):
         assert any(f.startswith("In(user_id") for f in pushed)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"stream_latest", "store_compacted", "store_reopened", "store_runs"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"log_files_recovered", "run_files_read", "stream_latest", "store_compacted", "store_reopened", "store_runs"}))
 def test_stays_in_the_jvm_without_nested_loops(spark, name):
     p = plan_of(catalog.QUERIES[name](spark, SF))
     assert not p.rowwise_python and not p.nodes["CartesianProduct"]
