@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -15,7 +17,7 @@ from palimpsest.scratch import materialise, release  # noqa: F401
 #: ASCII white space, as the contracts take it: space and \x09 to \x0D; bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that a worker remembers in each of two generations; longer words aren't remembered.
-REMEMBERED, LONGEST = 150_000, 48
+REMEMBERED, LONGEST = 100_000, 48
 
 
 class Memory:
@@ -48,6 +50,13 @@ class Memory:
         return got
 
 
+def give_back() -> None:
+    """Returns what Arrow and the C library have freed to the system: a worker lives through many stages beside its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,5 +107,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dic
             if batch.num_rows:
                 out = fn(batch)
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names)
+                del batch, out
+                give_back()
 
     return df.mapInArrow(run, schema)

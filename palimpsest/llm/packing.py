@@ -10,7 +10,8 @@ import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -19,12 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memory, arrow_map, materialise
+from palimpsest.llm.common import Memory, arrow_map, give_back, materialise
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 #: A sequence's share of padding, at most, in the classes into which documents are cut.
 PADDING = 1 / 32
 #: Bytes of text that a worker takes at once, and rows in a bucket of a class, about.
-AT_ONCE, BUCKET = 8 << 20, 8192
+AT_ONCE, BUCKET = 6 << 20, 8192
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
@@ -48,15 +52,20 @@ class WordIds:
 
         with open(public_tokenizers.path(name), encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self._whole = lambda: Tokenizer.from_file(public_tokenizers.path(name))
         # The same vocabulary for parts that are lower case, normal and split already.
         by_bytes = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
         self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, by_bytes]}}))
-        vocab = self.tokenizer.get_vocab()
+        vocab = self.plain.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words, self.parts = Memory(), Memory()
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The tokenizer as it is, for what isn't plain; most tasks never need it."""
+        return self._whole()
+
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -121,6 +130,8 @@ class WordIds:
             finally:
                 gc.enable()
             yield from made
+            del made
+            give_back()
 
 
 _words: dict[str, WordIds] = {}

@@ -218,16 +218,14 @@ def page_counts(parsed: DataFrame) -> DataFrame:
 
 
 def groups(counts: DataFrame, pages: int = PAGES) -> DataFrame:
-    """(host, of, pages): whose template a host's pages follow, and from how many pages that is deduced.
+    """(of, pages): the hosts that have a template of their own, and from how many pages it is deduced.
 
-    A host with ``pages`` different pages or more has its own. Those with fewer, and pages without a host, follow one that
-    is deduced from all of them together: what nearly all of those have in common.
+    Those are hosts with ``pages`` different pages or more. The others, and pages without a host, follow the one named by
+    the empty string, which is deduced from all of theirs together: what nearly all of those have in common.
     """
     own = F.coalesce(F.col("pages") >= pages, F.lit(False)) & F.col("host").isNotNull()
-    few = counts.where(~own).agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"))
-    alone = counts.where(own).select("host", F.col("host").alias("of"), "pages")
-    pooled = counts.where(~own).select("host").crossJoin(few).select("host", F.lit("").alias("of"), "pages")  # one row
-    return alone.unionByName(pooled)
+    few = counts.where(~own).agg(F.lit("").alias("of"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"))
+    return counts.where(own).select(F.col("host").alias("of"), "pages").unionByName(few)
 
 
 def deduce(parsed: DataFrame, of: DataFrame, support: float = SUPPORT, pages: int = PAGES) -> DataFrame:
@@ -253,10 +251,11 @@ def deduce(parsed: DataFrame, of: DataFrame, support: float = SUPPORT, pages: in
     different = parsed.where("size(tokens) > 0").groupBy("host", "page").agg(F.any_value("tokens").alias("tokens"))
     seen = arrow_map(different, count, "host string,page long,token long,n int")
     vectors = seen.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("on"), F.min("n").alias("least"), F.max("n").alias("most"))
-    known = of.withColumnRenamed("host", "h")
-    vectors = vectors.join(known, vectors.host.eqNullSafe(known.h)).groupBy("of", "token").agg(F.bit_xor("class").alias("class"), F.sum("on").alias("on"), F.min("least").alias("least"), F.max("most").alias("most"))
+    known = of.where("of <> ''").select("of")
+    followed = vectors.join(known, vectors.host == known.of, "left").withColumn("of", F.coalesce("of", F.lit("")))
+    vectors = followed.groupBy("of", "token").agg(F.bit_xor("class").alias("class"), F.sum("on").alias("on"), F.min("least").alias("least"), F.max("most").alias("most"))
     vectors = vectors.where(F.col("on") >= F.lit(support * pages)).withColumn("part", F.pmod("token", F.lit(PARTS)).cast("int"))
-    per = of.select("of", "pages").distinct().where(F.col("pages") >= pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    per = of.where(F.col("pages") >= pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     valid = vectors.join(per, ["of", "part"]).where(F.col("on") >= F.lit(support) * F.col("pages"))
     times = F.when(F.col("least") == F.col("most"), F.col("most")).otherwise(0).alias("times")
     return valid.groupBy("of").agg(F.collect_list(F.struct("token", "class", times)).alias("tokens"))
@@ -378,12 +377,14 @@ _COLUMNS = ("tokens", "up", "at", "text", "kind", "main", "linked")
 
 
 def _with(parsed: DataFrame, of: DataFrame, made: DataFrame, columns: list[str]) -> DataFrame:
-    """``parsed`` with what its host follows; sent to all tasks if its measured size is within a bound, else joined by host."""
-    size = sum(F.coalesce(F.size(c), F.lit(0)) for c in columns) * 24 + 128
-    hosts = of.join(made, "of", "left").select(F.col("host").alias("h"), "of", *columns)
-    total = hosts.agg(F.sum(size)).first()[0] or 0
-    hosts = F.broadcast(hosts) if total <= BROADCAST_BYTES else hosts
-    return parsed.join(hosts, parsed["host"].eqNullSafe(F.col("h")), "left").drop("h")
+    """``parsed`` with what its host follows: its own template, sent to all tasks if all of these are within a bound, else
+    joined by host; or the common one, a single row."""
+    own = of.where("of <> ''").join(made, "of", "left").select("of", *columns)
+    total = own.agg(F.sum(sum(F.coalesce(F.size(c), F.lit(0)) for c in columns) * 24 + 128)).first()[0] or 0
+    rows = parsed.join(F.broadcast(own) if total <= BROADCAST_BYTES else own, F.col("host") == F.col("of"), "left")
+    common = made.where("of = ''").select(*(F.col(c).alias(f"common_{c}") for c in columns))
+    rows = rows.join(F.broadcast(common), F.col("of").isNull(), "left")
+    return rows.select(*parsed.columns, F.coalesce("of", F.lit("")).alias("of"), *(F.coalesce(c, f"common_{c}").alias(c) for c in columns))
 
 
 def verdicts(parsed: DataFrame, of: DataFrame, made: DataFrame) -> DataFrame:
