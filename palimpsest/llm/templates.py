@@ -231,11 +231,12 @@ def groups(counts: DataFrame, pages: int = PAGES) -> DataFrame:
 def deduce(parsed: DataFrame, of: DataFrame, support: float = SUPPORT, pages: int = PAGES) -> DataFrame:
     """(of, tokens: array of (token, class, times)): the valid classes of each template, from ``parse`` and ``groups``.
 
-    Tokens are in one class if they occur equally often on each of the pages: the exclusive or of hashes of page and count
-    is the same. It is summed up before any shuffle, so a host may have any number of pages. A class is valid if it is on
-    ``support`` of ``pages`` or more different pages, so tokens on fewer than ``support * pages`` pages go at once, and
-    what is left meets the number of pages in ``PARTS`` parts. ``times``: how often it occurs on each page that has it, or 0
-    if that differs. A valid class's tokens are at most 1 / support times as many as an average page has, so a row stays as short as a page.
+    Tokens are in one class if they occur equally often on each of the pages: the exclusive or of hashes of host, page and
+    count is the same. It is summed up before any shuffle, so a host may have any number of pages. A class is valid if it
+    is on ``support`` of ``pages`` or more different pages, so tokens on fewer than ``support * pages`` pages go at once,
+    and what is left meets the number of pages in ``PARTS`` parts. ``times``: how often it occurs on each page that has it, or 0
+    if that differs. A valid class's tokens are at most 1 / support times as many as an average page has, so a row stays as
+    short as a page.
     """
 
     def count(b: pa.RecordBatch) -> dict:
@@ -250,7 +251,7 @@ def deduce(parsed: DataFrame, of: DataFrame, support: float = SUPPORT, pages: in
 
     different = parsed.where("size(tokens) > 0").groupBy("host", "page").agg(F.any_value("tokens").alias("tokens"))
     seen = arrow_map(different, count, "host string,page long,token long,n int")
-    vectors = seen.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("on"), F.min("n").alias("least"), F.max("n").alias("most"))
+    vectors = seen.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("host", "page", "n")).alias("class"), F.count("*").alias("on"), F.min("n").alias("least"), F.max("n").alias("most"))
     known = of.where("of <> ''").select("of")
     followed = vectors.join(known, vectors.host == known.of, "left").withColumn("of", F.coalesce("of", F.lit("")))
     vectors = followed.groupBy("of", "token").agg(F.bit_xor("class").alias("class"), F.sum("on").alias("on"), F.min("least").alias("least"), F.max("most").alias("most"))
