@@ -17,7 +17,7 @@ from palimpsest.scratch import materialise, release  # noqa: F401
 #: ASCII white space, as the contracts take it: space and \x09 to \x0D; bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that a worker remembers in each of two generations; longer words aren't remembered.
-REMEMBERED, LONGEST = 100_000, 48
+REMEMBERED, LONGEST = 80_000, 48
 
 
 class Memory:

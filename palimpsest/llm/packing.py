@@ -28,7 +28,7 @@ if TYPE_CHECKING:
 #: A sequence's share of padding, at most, in the classes into which documents are cut.
 PADDING = 1 / 32
 #: Bytes of text that a worker takes at once, and rows in a bucket of a class, about.
-AT_ONCE, BUCKET = 6 << 20, 8192
+AT_ONCE, BUCKET = 4 << 20, 8192
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
