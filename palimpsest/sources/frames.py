@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import groupby, islice
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.scratch import create, ship
+from palimpsest.scratch import create, create_files, materialise, release, ship
 
 MAGIC = 0xABCD1234
 #: Entries that a task hands on at once.
@@ -88,55 +88,68 @@ def valid_prefix(frames: DataFrame, crc: str = "crc", payload: str = "payload",
     return joined.where(F.col("_first_bad").isNull() | (F.col(order) < F.col("_first_bad"))).drop("_first_bad")
 
 
-def bloom_bits(keys: list[bytes], n_bytes: int = 4096, hashes: int = 3) -> bytes:
-    bits = bytearray(n_bytes)
-    for key in keys:
-        h = 2166136261
-        for c in key:
-            h = ((h ^ c) * 16777619) & 0xFFFFFFFF
-        for i in range(hashes):
-            p = ((h + i * 0x9E3779B9) & 0xFFFFFFFF) % (8 * n_bytes)
-            bits[p // 8] |= 1 << (p % 8)
-    return bytes(bits)
+def set_bits(bits: bytearray, key: bytes, hashes: int = 3) -> None:
+    """Puts a key into a Bloom filter."""
+    h = 2166136261
+    for c in key:
+        h = ((h ^ c) * 16777619) & 0xFFFFFFFF
+    for i in range(hashes):
+        p = ((h + i * 0x9E3779B9) & 0xFFFFFFFF) % (8 * len(bits))
+        bits[p // 8] |= 1 << (p % 8)
 
 
-def encode_run_file(entries: list[tuple[bytes, int, int, bytes]], block: int = 4096) -> bytes:
-    """A run file of (key, seq, op, value) in internal order: records, Bloom filter, block index, key range, footer."""
-    out, index, keys, in_block = bytearray(), [], [], 0
+def run_file(entries: Iterable[tuple[bytes, int, int, bytes]], block: int = 4096, bloom: int = 4096) -> Iterator[bytes]:
+    """A run file of (key, seq, op, value) in internal order, a record at a time, then Bloom filter, block index, key range and
+    footer. Of the records only the first key of each block is kept."""
+    at, index, bits, in_block, lo, hi = 0, [], bytearray(bloom), 0, None, b""
     le = lambda n: struct.pack("<I", n)
     for key, seq, op, value in entries:
         if not in_block:
-            index.append((key, len(out)))
+            index.append((key, at))
         raw = key + seq.to_bytes(8, "big") + bytes([op])
         rec = le(len(raw)) + raw + le(len(value)) + value
-        out += rec
-        keys.append(key)
+        yield rec
+        set_bits(bits, key)
+        lo, hi = key if lo is None else min(lo, key), max(hi, key)
+        at += len(rec)
         in_block = 0 if in_block + len(rec) >= block else in_block + len(rec)
-    bloom_at = len(out)
-    out += bloom_bits(keys)
-    index_at = len(out)
-    out += le(len(index)) + b"".join(le(len(k)) + k + le(at) for k, at in index)
-    meta_at = len(out)
-    lo, hi = (min(keys), max(keys)) if keys else (b"", b"")
-    out += le(len(lo)) + lo + le(len(hi)) + hi
-    return bytes(out + le(bloom_at) + le(index_at) + le(meta_at) + le(MAGIC))
+    lo = lo or b""
+    blocks = le(len(index)) + b"".join(le(len(k)) + k + le(i) for k, i in index)
+    index_at = at + len(bits)
+    yield bytes(bits) + blocks + le(len(lo)) + lo + le(len(hi)) + hi + le(at) + le(index_at) + le(index_at + len(blocks)) + le(MAGIC)
+
+
+def encode_run_file(entries: Iterable[tuple[bytes, int, int, bytes]], block: int = 4096) -> bytes:
+    """A run file of (key, seq, op, value) in internal order: records, Bloom filter, block index, key range, footer."""
+    return b"".join(run_file(entries, block))
 
 
 def write_logs(frames: DataFrame, folder: str, log: str = "log", order: str = "pos", frame: str = "frame") -> None:
-    """A file ``<log>.log`` in ``folder`` for each log, with its frames in order.
+    """A file ``<log>.log`` in ``folder`` for each log, with its frames in order; of one place, in the order of their bytes.
 
-    Another engine's log is one file, so it has one writer: frames are encoded and sorted by the tasks and come to the
-    driver as a stream, a part at a time.
+    A log is one file, so one task writes it, as a stream. Files with the same last byte are written together (see
+    ``create_files``), in 256 jobs at most that share the frames among them. To the driver come the logs' names and last bytes.
     """
-    rows = frames.select(F.col(log).cast("string").alias("log"), order, frame).orderBy("log", order).toLocalIterator()
-    for name, own in groupby(rows, key=lambda r: r.log):
-        create(frames.sparkSession, f"{folder}/{name}.log", (bytes(r[frame]) for r in own))
+    spark = frames.sparkSession
+    some = F.coalesce(F.col(frame).cast("binary"), F.raise_error(F.lit("a frame is null")))
+    rows = materialise(frames.select(F.col(log).cast("string").alias("log"), F.col(order).alias("pos"), some.alias("frame")), "frames")
+    last = F.max(F.when(F.octet_length("frame") > 0, F.struct("pos", "frame"))).getField("frame")
+    ends = [(r.log, r.end[0] if r.end else None) for r in rows.groupBy("log").agg(F.substring(last, -1, 1).alias("end")).collect()]
+    for name in (name for name, end in ends if end is None):
+        create(spark, f"{folder}/{name}.log", [])
+    known = spark.createDataFrame([x for x in ends if x[1] is not None], "name string, end int")
+    dealt = rows.join(F.broadcast(known), F.col("log").eqNullSafe(F.col("name"))).select("log", "pos", "frame", "end")  # a row for each log
+    dealt = materialise(dealt, "frames", by="end")
+    release(rows)
+    for end in sorted({end for _, end in ends if end is not None}):
+        own = dealt.where(F.col("end") == end).repartition("log").sortWithinPartitions("log", "pos", "frame")
+        create_files(own.select("log", "frame"), lambda some: (raw for (raw,) in some), end, folder, ".log")
+    release(dealt)
 
 
 def write_run_files(entries: DataFrame, folder: str, run: str = "run_id", block: int = 4096) -> None:
-    """A file ``<run>.run`` in ``folder`` for each run of (key, seq, op, value: binary). A run is as large as a flush, and its
-    file is made in memory as its filter and index come after its records."""
+    """A file ``<run>.run`` in ``folder`` for each run of (key, seq, op, value: binary). A run is one file, so one task writes
+    it, as a stream; what comes after the records takes a key for each block. To the driver come the files' names."""
     rows = entries.select(F.col(run).cast("string").alias("run"), F.col("key").cast("binary").alias("key"), "seq", "op", F.coalesce(F.col("value").cast("binary"), F.expr("X''")).alias("value"))
-    ordered = rows.orderBy("run", F.col("key"), F.col("seq").desc(), F.col("op").desc()).toLocalIterator()
-    for name, own in groupby(ordered, key=lambda r: r.run):
-        create(entries.sparkSession, f"{folder}/{name}.run", [encode_run_file([(bytes(r.key), r.seq, r.op, bytes(r.value)) for r in own], block)])
+    ordered = rows.repartition("run").sortWithinPartitions("run", F.col("key"), F.col("seq").desc(), F.col("op").desc())
+    create_files(ordered, lambda own: run_file(own, block), MAGIC >> 24, folder, ".run")
